@@ -11,7 +11,7 @@ from ..skew import lookup_skewed
 #: Characters that are mere formatting: Unicode punctuation, ASCII symbols, all white space (Java regex classes).
 FORMATTING = r"[\p{P}\p{Z}\s\x{85}$+<=>^`|~]+"
 #: Where a labelled field starts: the beginning or a separating mark, then one word and a colon, an equals sign or a spaced dash.
-FIELD_START = r"(?:^|[\n\r;|,./•*]+|\s[-–—]\s)[\s*•\-]*(?=\p{L}+(?:\s*[:=](?!//)|\s+[-–—]\s))"
+FIELD_START = r"(?:^|[\n\r\t;|,./•*]+|\s[-–—]\s)[\s*•\-]*(?=\p{L}+(?:\s*[:=](?!//)|\s+[-–—]\s))"
 LABEL = r"^(\p{L}+)\s*[:=\-–—]"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import dedup, mixing
+from . import dedup, mixing, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -27,6 +27,14 @@ def p1_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.distinct_records(surveys(spark, sf), "id", "response", ["survey"])
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.marked_terms(surveys(spark, sf), "response", "survey").filter("mark is not null").select("survey", "term", "mark")
+
+
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.marked_terms(surveys(spark, sf), "response", "survey")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.unreachable(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
@@ -44,7 +52,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    answers = " UNION ALL ".join(f"SELECT '{k}' AS survey, id, response FROM {t} WHERE response IS NOT NULL" for k, t in SURVEYS.items())
+    counts = f"""
+            WITH r AS ({answers}), n AS (SELECT survey, count(*) AS total FROM r GROUP BY survey),
+            t AS (SELECT survey, id, unnest(regexp_extract_all(lower(response), '[a-z][a-z]+')) AS term FROM r),
+            c AS (SELECT survey, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM t GROUP BY survey, term),
+            m AS (SELECT c.*, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS mark FROM c JOIN n USING (survey))"""
     return {
+        "p2_found": counts + " SELECT survey, term, mark FROM m WHERE mark IS NOT NULL",
+        "p2_counts": counts + " SELECT survey, term, occurrences, records, mark FROM m",
         "p8_found": """
             WITH s AS (SELECT source, sum(n_tokens) AS tokens FROM documents WHERE source IS NOT NULL GROUP BY source),
             t AS (SELECT m.mix_id, m.source, m.weight, m.max_repeats, coalesce(s.tokens, 0) AS tokens FROM mix_targets m LEFT JOIN s ON s.source = m.source),
