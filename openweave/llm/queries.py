@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import dedup, mixing, terms
+from . import dedup, mixing, mojibake, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -47,6 +47,14 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restore(read_table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restore(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
