@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import dedup, mixing, mojibake, terms
+from . import dedup, lookalike, mixing, mojibake, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -35,6 +35,21 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return terms.marked_terms(surveys(spark, sf), "response", "survey")
 
 
+def fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The two fields of problems 4 and 6 as (tbl, rec_id, text)."""
+    market = read_table(spark, sf, "market_research_survey_300").select(F.lit("market_research_survey_300").alias("tbl"), F.col("id").cast("string").alias("rec_id"), F.col("response").alias("text"))
+    samples = read_table(spark, sf, "sample_texts").select(F.lit("sample_texts").alias("tbl"), F.col("id").alias("rec_id"), F.col("input").alias("text"))
+    return market.unionByName(samples)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.disguised(fields(spark, sf), "tbl", "rec_id", "text")
+
+
+def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.normalized(fields(spark, sf), "tbl", "rec_id", "text")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.unreachable(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
