@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import dedup, lookalike, mixing, mojibake, terms
+from . import dedup, lookalike, mixing, mojibake, quality, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -50,6 +50,14 @@ def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.normalized(fields(spark, sf), "tbl", "rec_id", "text")
 
 
+def p6_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.statistics(fields(spark, sf), ["tbl", "rec_id"], "text", read_table(spark, sf, "common_words"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.not_prose(p6_statistics(spark, sf)).select("tbl", "rec_id")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.unreachable(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
