@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import dedup, lookalike, mixing, mojibake, quality, terms
+from . import binpack, dedup, lookalike, mixing, mojibake, quality, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -58,6 +58,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.not_prose(p6_statistics(spark, sf)).select("tbl", "rec_id")
 
 
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return binpack.pack(read_table(spark, sf, "documents"), read_table(spark, sf, "bin_sizes"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return binpack.divided(p7_packed(spark, sf))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return binpack.report(p7_packed(spark, sf))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.unreachable(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
@@ -92,6 +104,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": counts + " SELECT survey, term, mark FROM m WHERE mark IS NOT NULL",
         "p2_counts": counts + " SELECT survey, term, occurrences, records, mark FROM m",
+        "p7_found": "SELECT bin_id, doc_id FROM documents JOIN bin_sizes ON n_tokens > capacity_tokens",
         "p8_found": """
             WITH s AS (SELECT source, sum(n_tokens) AS tokens FROM documents WHERE source IS NOT NULL GROUP BY source),
             t AS (SELECT m.mix_id, m.source, m.weight, m.max_repeats, coalesce(s.tokens, 0) AS tokens FROM mix_targets m LEFT JOIN s ON s.source = m.source),
