@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import binpack, dedup, lookalike, mixing, mojibake, quality, terms
+from . import binpack, dedup, lookalike, mixing, mojibake, pii, quality, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -35,6 +35,14 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return terms.marked_terms(surveys(spark, sf), "response", "survey")
 
 
+def p3_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.annotate(surveys(spark, sf), ["survey", "id"], "response", read_table(spark, sf, "given_names"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_masked(spark, sf).select("survey", "id", F.explode("kinds").alias("kind"))
+
+
 def fields(spark: SparkSession, sf: str) -> DataFrame:
     """The two fields of problems 4 and 6 as (tbl, rec_id, text)."""
     market = read_table(spark, sf, "market_research_survey_300").select(F.lit("market_research_survey_300").alias("tbl"), F.col("id").cast("string").alias("rec_id"), F.col("response").alias("text"))
