@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import binpack, dedup, lookalike, mixing, mojibake, pii, quality, terms
+from . import binpack, clusters, dedup, lookalike, mixing, mojibake, pii, quality, terms
 
 SURVEYS = {"market": "market_research_survey_300", "remote": "remote_work_experiences_200"}
 
@@ -58,6 +58,19 @@ def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.normalized(fields(spark, sf), "tbl", "rec_id", "text")
 
 
+def p5_members(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.similarity_clusters(surveys(spark, sf), "id", "response", "survey").withColumnRenamed("grp", "survey")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_members(spark, sf).select("survey", "id", "cluster_id")
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    members = clusters.similarity_clusters(surveys(spark, sf), "id", "response", "survey")
+    return clusters.describe(members).withColumnRenamed("grp", "survey")
+
+
 def p6_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(fields(spark, sf), ["tbl", "rec_id"], "text", read_table(spark, sf, "common_words"))
 
