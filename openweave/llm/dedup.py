@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,22 @@ def canonical(text: Column) -> Column:
     return F.when(may_have_fields & labelled, bare).otherwise(F.regexp_replace(low, FORMATTING, ""))
 
 
+_FORMATTING = regex.compile(r"[\p{P}\p{Z}\s\x85$+<=>^`|~]+")
+_FIELD_START = regex.compile(FIELD_START)
+_LABEL = regex.compile(LABEL)
+_MAY = regex.compile(r"[\s*•\-\p{P}]*\p{L}+(?:\s*[:=]|\s+[-–—]\s)")
+
+
+def canonical_text(low: str) -> str:
+    """canonical() of one lower-cased text, for operators that have the text in Python anyway."""
+    if _MAY.match(low):
+        fields = [f for x in _FIELD_START.split(low) if (f := x.strip(" ")) and _FORMATTING.sub("", f)]
+        labels = [m[1] if (m := _LABEL.match(f)) else "" for f in fields]
+        if len(fields) >= 2 and "" not in labels and len(set(labels)) == len(labels):
+            return "\u0001".join(sorted(_FORMATTING.sub("", f) for f in fields))
+    return _FORMATTING.sub("", low)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, groups: list[str], min_words: int = 0) -> DataFrame:
     """(groups, id, h, c): the 128-bit hash of the canonical form and an independent 64-bit check; rows without text are left out."""
     rows = df.filter(F.col(text_col).isNotNull())
