@@ -124,7 +124,7 @@ def split_labels(label: Column, delimiter: str | None = None) -> Column:
         parts = F.array(label)
         for d in reversed(L.LABEL_DELIMITERS):
             parts = F.when(F.contains(label, F.lit(d)), F.split(label, "\\Q" + d + "\\E")).otherwise(parts)
-    return F.when(label.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    return F.when(label.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 NORMALIZED = T.StructType(

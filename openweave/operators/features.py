@@ -23,13 +23,13 @@ class VectorConfig:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams of low..high tokens, joined by blanks."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-        else:
-            last = F.size(tokens) - n
-            parts.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>")))
+
+    def of(n: int) -> Column:
+        last = F.size(tokens) - n
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    parts = [tokens if n == 1 else of(n) for n in range(low, high + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -37,7 +37,7 @@ def vectorize(df: DataFrame, id_col: str, text_col: str, config: VectorConfig =
         gone = sorted(config.stopwords)
         tokens = F.filter(tokens, lambda t: ~t.isin(*gone))
     d = df.filter(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), ngrams(tokens, config.min_ngram, config.max_ngram).alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=config.max_features, minDF=config.min_df, maxDF=config.max_df).fit(d)
+    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=config.max_features, minDF=config.min_df, maxDF=config.max_df if config.max_df != 1 else float(1 << 62)).fit(d)  # MLlib takes 1.0 for one document
     d = cv.transform(d).select("id", "tf")
     if counts:
         return d.withColumnRenamed("tf", "features"), cv.vocabulary
