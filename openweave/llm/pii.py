@@ -380,7 +380,8 @@ def annotate(df: DataFrame, keys: list[str], text_col: str, given_names: DataFra
                     masked.append(mask(text, spans))
                     kinds.append(sorted({k for *_, k in spans}))
             out = b.iloc[keep].drop(columns="_text").rename(columns={f"_{i}": k for i, k in enumerate(keys)})
-            yield out.assign(masked=masked, kinds=kinds)
+            # typed, since a batch may hold nothing
+            yield out.assign(masked=pd.Series(masked, dtype=object, index=out.index), kinds=pd.Series(kinds, dtype=object, index=out.index))
 
     texts = df.filter(F.col(text_col).isNotNull()).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col(text_col).alias("_text"))
     types = dict(texts.dtypes)
