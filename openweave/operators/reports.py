@@ -76,3 +76,45 @@ def audit(text: str, around: int = 50) -> list[tuple[str, str]]:
             out.append((claim, text[max(0, at - around) : at + len(claim) + around]))
             at = low.find(claim, at + 1)
     return out
+
+
+def codebook_dict(book: DataFrame, examples: DataFrame | None = None, limit: int = 1000) -> dict:
+    """The codebook as plain data; examples: (code, place, quote). A codebook has k rows; more than ``limit`` are refused."""
+    rows = book.orderBy("code").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} codes")
+    quotes: dict[str, list[str]] = {}
+    if examples is not None:
+        for r in examples.orderBy("code", "place").limit(limit * 10).collect():
+            quotes.setdefault(r["code"], []).append(r["quote"][:200])
+    return {r["code"]: {"label": r["label"], "keywords": list(r["keywords"] or []), "count": r["count"], "avg_confidence": r["avg_confidence"], "examples": quotes.get(r["code"], [])[:5]} for r in rows}
+
+
+def codebook_markdown(codes: dict) -> str:
+    out = ["# Codebook", ""]
+    for code, c in codes.items():
+        out += [f"## {code}: {c['label']}", "", f"- Responses: {c['count']}", f"- Top terms: {'; '.join(c['keywords'][:5])}", *(f"> {e}" for e in c["examples"]), ""]
+    return "\n".join(out)
+
+
+def codebook_csv(codes: dict) -> str:
+    import csv
+    import io
+
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(("code", "label", "count", "avg_confidence", "top_terms", "examples"))
+    for code, c in codes.items():
+        w.writerow((code, c["label"], c["count"], c["avg_confidence"], "; ".join(c["keywords"][:5]), " | ".join(c["examples"])))
+    return out.getvalue()
+
+
+def stopword_report(candidates: DataFrame, form: str = "markdown", rows: int = 100) -> str:
+    """The candidates as markdown or JSON."""
+    import json
+
+    found = [r.asDict() for r in candidates.limit(rows).collect()]
+    if form == "json":
+        return json.dumps({"candidates": found, "recommended": [c["term"] for c in found if c["recommended"]]}, indent=1)
+    lines = ["# Stop-word candidates", "", "| term | texts | share | advice |", "|---|---|---|---|"]
+    return "\n".join(lines + [f"| {c['term']} | {c['df']} | {c['ratio']} | {'remove' if c['recommended'] else 'keep'}: {c['reason']} |" for c in found])

@@ -112,6 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_network": vec + " SELECT * FROM (SELECT a.label AS a, b.label AS b, round(sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))), 6) AS similarity FROM c a JOIN c b ON a.d = b.d AND a.label < b.label GROUP BY 1, 2) WHERE similarity >= 0.1",
         "evaluate_representative": vec + ", q AS (SELECT x.label AS cluster, x.vec_id AS id, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 6) AS similarity FROM x JOIN c USING (label, d) GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY similarity DESC, id) AS place FROM q) SELECT cluster, place, id, similarity FROM p WHERE place <= 3",
         "evaluate_silhouette": "WITH m AS (SELECT a.vec_id, a.label, b.label AS o, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), s AS (SELECT vec_id, label, min(m) FILTER (label = o) AS a, min(m) FILTER (label <> o) AS b FROM m GROUP BY 1, 2) SELECT label AS cluster, round(avg(round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6)), 4) AS silhouette, count(*) AS n FROM s GROUP BY 1",
+        "display_cluster_terms": f"WITH t AS (SELECT topic AS cluster, unnest(regexp_extract_all(lower(response), '[a-z]{{2,}}')) AS term FROM remote_work_experiences_200), n AS (SELECT cluster, term, count(*) AS n FROM t WHERE term NOT IN ({_in(L.STOPWORDS)}) GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS i, max(n) OVER (PARTITION BY cluster) AS best FROM n) SELECT cluster, term, round(100.0 * n / best, 6) AS score FROM p WHERE i <= 10",
         "stream_tumbling": "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
         "stream_sliding": "SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '6 hours']) AS w FROM events WHERE ts IS NOT NULL) GROUP BY 1, 2",
         "stream_coded": "WITH k AS (SELECT code_id, unnest(keywords) AS kw FROM code_frame), hit AS (SELECT DISTINCT m.id, k.code_id FROM remote_work_experiences_200 m JOIN k ON contains(lower(m.response), lower(k.kw))) SELECT m.id, coalesce(string_agg(h.code_id, ',' ORDER BY h.code_id), '') AS codes FROM remote_work_experiences_200 m LEFT JOIN hit h USING (id) GROUP BY 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import wordlists as L
 from .functions.text import split_labels, unknown_label_pattern
-from .operators import cleaning, coding, diagnostics, evaluate, features, interpret, ml, quality, results
+from .operators import cleaning, coding, diagnostics, displays, evaluate, features, interpret, ml, quality, results
 from .operators.coding import Category, CodeFrame, Theme
 from .session import materialize, read_table
 from .streaming import events as stream
@@ -440,6 +440,14 @@ def evaluate_silhouette(spark, sf):
     return d.groupBy("cluster").agg(F.round(F.avg("silhouette"), 4).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+def display_availability(spark, sf):
+    return displays.availability(spark)
+
+
+def display_cluster_terms(spark, sf):
+    return displays.cluster_terms(remote(spark, sf), "response", "topic", 10, L.STOPWORDS)
+
+
 # --- models (no SQL: tested by invariants) --------------------------------------------------------------------------------
 
 
@@ -491,7 +499,7 @@ def extension_cube(spark, sf):
     return read_table(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-PREFIXES = ("coding_", "results_", "diagnostics_", "text_", "features_", "evaluate_", "model_", "stream_", "extension_")
+PREFIXES = ("coding_", "results_", "diagnostics_", "text_", "features_", "evaluate_", "display_", "model_", "stream_", "extension_")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from openweave.operators import diagnostics, evaluate, features, interpret, ml, reports, results
+from openweave.operators import diagnostics, displays, evaluate, features, interpret, ml, reports, results
 from openweave.plans.pipelines import open_coding
 from openweave.sources import readers, writers
 from openweave.streaming import events as stream
@@ -155,3 +155,16 @@ def test_skewed_lookup_keeps_every_row(spark):
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert lookup_skewed(rows, table, ["k"], "n", 4000).count() == 4000
     assert small(rows, 10) is rows
+
+
+def test_displays_and_codebook_forms(spark, topics):
+    m, v = ml.vectorize(topics, "id", "text", features.VectorConfig(max_ngram=1, min_df=2, max_df=1.0, stopwords=frozenset(("the", "and"))))
+    f = ml.fit(m, v, "kmeans", 3)
+    grid = displays.topic_terms(f, 3).collect()
+    assert max(r.weight for r in grid) == 1.0 and len(grid) % 3 == 0
+    assert displays.topic_distribution(f, 5).count() == 15 and displays.availability(spark).filter("available").count() > 5
+    book = reports.codebook_dict(ml.codebook(f, ml.assign(f.doc_topics)))
+    assert len(book) == 3 and "## CODE_01" in reports.codebook_markdown(book) and reports.codebook_csv(book).count("\n") == 4
+    c = features.stopword_candidates(topics, "id", "text", 0.3, keep=frozenset(("the",)))
+    assert "the" in reports.stopword_report(c) and '"recommended"' in reports.stopword_report(c, "json")
+    assert displays.compare_representations({"tfidf": m}, 3)[0]["rows"] == 60
