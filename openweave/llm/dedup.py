@@ -35,7 +35,7 @@ def canonical(text: Column) -> Column:
 
 
 #: The characters of FORMATTING, by their Unicode categories, for deletion in one pass.
-_FORMATTING = {c: None for c in range(0x20000) if unicodedata.category(chr(c))[0] in "PZ" or chr(c).isspace() or chr(c) in "$+<=>^`|~"}
+_FORMATTING = {c: None for c in range(0x20000) if unicodedata.category(chr(c))[0] in "PZ" or chr(c) in " \t\n\x0b\x0c\r\x85$+<=>^`|~"}
 _FIELD_START = regex.compile(FIELD_START)
 _LABEL = regex.compile(LABEL)
 _MAY = regex.compile(r"[\s*•\-\p{P}]*\p{L}+(?:\s*[:=]|\s+[-–—]\s)")
