@@ -51,9 +51,12 @@ class CodeFrame:
         rows = [(i, c.code_id, c.label, c.description, list(c.keywords), c.parent) for i, c in enumerate(self.codes)]
         return spark.createDataFrame(rows, "ord int, code_id string, label string, description string, keywords array<string>, parent string")
 
-    def expression(self, text: Column, case_sensitive: bool = False) -> Column:
-        """The codes of a text: those of which any keyword occurs in it, as a substring, in frame order. NULL gives none."""
-        t = text if case_sensitive else F.lower(text)
+    def expression(self, text: Column, case_sensitive: bool = False, lowered: bool = False) -> Column:
+        """The codes of a text: those of which any keyword occurs in it, as a substring, in frame order. NULL gives none.
+
+        lowered: the text is in lower case already, so that it is lowered once and not once a keyword.
+        """
+        t = text if case_sensitive or lowered else F.lower(text)
         hits = []
         for c in self.codes:
             hit = F.lit(False)
@@ -67,7 +70,9 @@ class CodeFrame:
 def apply_codes(df: DataFrame, frame: CodeFrame, text_col: str, out: str = "codes", case_sensitive: bool = False, id_col: str | None = None) -> DataFrame:
     """df with the codes of its text. Large frames are joined by keyword instead of compiled; for that an id is needed."""
     if sum(len(c.keywords) for c in frame.codes) <= COMPILED_KEYWORDS:
-        return df.withColumn(out, frame.expression(F.col(text_col), case_sensitive))
+        if case_sensitive:
+            return df.withColumn(out, frame.expression(F.col(text_col), True))
+        return df.withColumn("_low", F.lower(text_col)).withColumn(out, frame.expression(F.col("_low"), lowered=True)).drop("_low")
     if id_col is None:
         raise ValueError("a frame of this size needs id_col")
     lower = (lambda c: c) if case_sensitive else F.lower
@@ -80,7 +85,8 @@ def apply_codes(df: DataFrame, frame: CodeFrame, text_col: str, out: str = "code
 
 def membership_counts(df: DataFrame, members: DataFrame, key: str, column: str) -> DataFrame:
     """(key, count) for every member of the dimension, zeros kept."""
-    n = df.select(F.explode(column).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    # the outer form keeps the optimizer from inferring a filter that would compute the list once more
+    n = df.select(F.explode_outer(column).alias(key)).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("count"))
     return members.select(key).distinct().join(n, key, "left").select(key, F.coalesce("count", F.lit(0)).alias("count"))
 
 
@@ -186,8 +192,8 @@ def cross_tabulation(df: DataFrame, first: str, second: str, column: str = "cate
 
 def pairs(df: DataFrame, column: str, ordered: bool = False) -> DataFrame:
     """(a, b) of the members of each row's list, a < b; with ordered also b, a and the diagonal. Lists are made distinct first."""
-    x = df.select(F.array_distinct(F.coalesce(F.col(column), F.array().cast(EMPTY))).alias("x")).filter("size(x) > 0")
-    both = x.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b"))
+    x = df.select(F.array_distinct(F.coalesce(F.col(column), F.array().cast(EMPTY))).alias("x"))
+    both = x.select(F.explode_outer("x").alias("a"), "x").select("a", F.explode_outer("x").alias("b")).filter("a is not null and b is not null")
     return both if ordered else both.filter("a < b")
 
 
