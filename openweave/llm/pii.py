@@ -13,6 +13,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,12 +24,15 @@ from .lookalike import INVISIBLE, TABLE
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Training size, passes and step; with the seed they fix the model.
 TRAIN_SENTENCES = 2600
+#: Sentences with long rows of numbers, besides.
+TRAIN_RUNS = 150
 EPOCHS = 5
 STEP = 0.35
 DECAY = 1e-4
 SEED = 20240131
-#: A numeric span has at most so many chunks, a name so many words.
-MAX_CHUNKS = 5
+#: A numeric span has at most so many digits and characters; its chunks are bounded by these alone.
+MAX_DIGITS = 15
+MAX_LENGTH = 26
 
 # Words that say what stands beside them.
 DIGIT_WORDS = "zero oh one two three four five six seven eight nine double"
@@ -45,7 +49,7 @@ WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
 EMAIL = re.compile(
     r"[\w+-]+(?:(?:\.|\s+dot\s+|\s?[(\[]dot[)\]]\s?)[\w+-]+)*"
     r"(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?|\s+at\s+(?=[\w-]+\s+dot\s|[\w-]+\s?[(\[]dot))"
-    r"[\w-]+(?:(?:\.|\s+dot\s+|\s?[(\[]dot[)\]]\s?)[\w-]+)+",
+    r"(?P<domain>[\w-]+(?:(?:\.|\s+dot\s+|\s?[(\[]dot[)\]]\s?)[\w-]+)+)",
     re.IGNORECASE,
 )
 NUMBERISH = re.compile(r"\S*\d\S*|(?<!\S)[A-Za-z]{1,2}(?=[\s.,!?;:)]|$)")
@@ -60,6 +64,7 @@ ADDRESS = tuple(
         ("first", rf"\b\d{{1,4}}[a-z]?(?:\s?(?:bis|ter))?,?\s+(?:{_SF})\s+(?:de\s+la\s+|de\s+l['’]|des\s+|du\s+|de\s+|di\s+|da\s+)?{WORD}(?:-{WORD})*"),
         ("after", rf"\b(?:{_SF})\s+(?:de\s+la\s+|de\s+|del\s+|di\s+|da\s+)?{WORD}(?:\s+{WORD})?,?\s+\d{{1,4}}\b"),
         ("joined", rf"\b{WORD}(?:{_SE})\.?\s+\d{{1,4}}(?:\s?[a-z])?\b"),
+        ("joined", rf"\b{WORD}(?:{_SE})\.?\s+\d{{1,4}}\b"),  # "Bergplatz 28 I ...": the letter may be the next word
         ("box", r"\b(?<!o\. )(?<!o )box\s+\d{2,6}\b"),
         ("pobox", r"\bp\.?\s*o\.?\s*box\s+\d{1,6}\b"),
         ("pobox1", rf"\bp\.?\s*o\.?\s*box\s+\d{{1,6}}\b,\s+{WORD}"),
@@ -148,7 +153,9 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, tu
     low = text.lower()
     words = frozenset(WORDS.findall(low))
     if "@" in text or "at" in words and "dot" in words or "[at]" in low or "(at)" in low:
-        for m in EMAIL.finditer(text):
+        at = 0
+        while m := EMAIL.search(text, at):
+            at = m.start("domain")  # "reach me at ada dot halv at mailhut dot test": what follows an at may be the address
             span = m.group()
             last = re.split(r"[.\s)\]]", span)[-1]
             plain = "@" in span and " " not in span
@@ -173,13 +180,13 @@ def _numbers(text: str, add) -> None:
     chunks = [c for c in chunks if c[0] < c[1]]
     numeric = [text[a:b].strip("()+").isdigit() for a, b in chunks]
     for i, (a, _) in enumerate(chunks):
-        for j in range(i, min(i + MAX_CHUNKS, len(chunks))):
+        for j in range(i, len(chunks)):
             b = chunks[j][1]
             if j > i and (text[chunks[j - 1][1] : chunks[j][0]].strip(" \t") not in ("", "(")):
                 break
             span = text[a:b]
             digits = sum(c.isdigit() for c in span)
-            if digits > 15 or len(span) > 26:
+            if digits > MAX_DIGITS or len(span) > MAX_LENGTH:
                 break
             if digits < 5 or "@" in span or "<" in span or "=" in span or span[:1] == "[":
                 continue
@@ -307,15 +314,19 @@ def _marginals(spans: list, weights: dict[str, float]) -> list[float]:
 
 def train(given: Iterable[str], sentences: int = TRAIN_SENTENCES) -> dict[str, float]:
     """Weights that maximise the likelihood of made sentences (adaptive gradient steps, seeded order)."""
+    from .pii_sentences import runs
     from .pii_sentences import sentences as made
 
     names = frozenset(x.lower() for x in given)
     rng = random.Random(SEED)
     examples = []
-    for text, gold in made(rng, sorted(names), sentences):
+    plain = sorted(n for n in names if n.isalpha() and len(n) <= 24)  # others are no single word of a candidate
+    for text, gold in chain(made(rng, plain, sentences), runs(random.Random(SEED), TRAIN_RUNS)):
         spans = candidates(text, names)
+        wanted = {(a, b, k) for a, b, k in gold}
+        missing = wanted - {(a, b, k) for a, b, k, _ in spans}
+        assert not missing, f"no candidates: {[(text[a:b], k) for a, b, k in missing]}"
         if spans:
-            wanted = {(a, b, k) for a, b, k in gold}
             examples.append((spans, [float((a, b, k) in wanted) for a, b, k, _ in spans]))
     weights: dict[str, float] = {}
     squares: dict[str, float] = {}

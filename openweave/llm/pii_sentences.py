@@ -47,6 +47,12 @@ TRAPS = (
     "Call {d2} was missed.", "Page {d3} of {d3} is {a}.", "Serial number {d5}{d3} is on the {n}.", "SKU {d5}-{d3} was {a}.", "Part no. {d4}-{d3} is missing.", "tracking code {d5}{d5} is {a}", "Ticket {d5}{d2} is open.", "Meet me at the {n} at {d1}.", "With a {a} {n} and a {a} {n} you can't go wrong.",
     "Our {n} needs a {a} {n} from the {n} by noon.", "I spoke with a {a} {n} twice.", "My name is on the {n}.", "Box {d2} of {d2} was {a}.", "The gift box {d1} was {a}.", "{d2} {a} {n} drive the price.", "The {n} is on the street at {d1}.", "See {d3} street food stalls.",
 )
+#: Rows of numbers that are no personal data, and frames of numbers of seven chunks that are.
+RUNS = (
+    "values {d1} {d1} {d1} {d1} {d1} {d1} {d1} {d2}", "{d2} {d2} {d2} {d2} {d2} {d2}", "[{d2}:{d2}:{d2}] {d1} {d2} {d3} {d2} {d2} {d2} {d2}", "We scored {d1} {d1} {d1} {d1} {d1} {d1} in the {n}.", "{d1} {d1} {d1} {d1} {d1} {d1} {d1} {d1} {d1}",
+    "Rows {d2} {d2} {d2} {d2} {d2} {d2} {d2} of the {n}.", "{b} {d1} {d2} {d1} {d2} {d1} {d2} {d3}", "lottery {d1} {d1} {d2} {d2} {d2} {d2}", "{n} {d1} {d2} {d2} {d2} {d2} {d2}",
+)
+LONG_IDS = ("They wrote down {} as my social security number.", "My social security number is {}.", "social security {}", "{}, that is me in their records.")
 
 
 def _digits(rng: random.Random, n: int) -> str:
@@ -136,14 +142,14 @@ def _filler(rng: random.Random) -> str:
     return _case(rng, s)
 
 
-def _trap(rng: random.Random) -> str:
+def _trap(rng: random.Random, traps: tuple[str, ...] = TRAPS) -> str:
     def value(m: re.Match) -> str:
         k = m.group(1)
         if k[0] == "d":
             return _digits(rng, int(k[1]))
         return {"h": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(8)), "b": lambda: rng.choice(BRANDS) + rng.choice(("avelan", "ivelan", "osevelan")), "n": lambda: rng.choice(NOUNS), "a": lambda: rng.choice(ADJECTIVES), "v": lambda: rng.choice(VERBS), "r": lambda: rng.choice(ADVERBS)}[k]()
 
-    s = re.sub(r"\{(\w+)\}", value, rng.choice(TRAPS))
+    s = re.sub(r"\{(\w+)\}", value, rng.choice(traps))
     return _case(rng, s) if rng.random() < 0.6 else s
 
 
@@ -184,3 +190,14 @@ def sentences(rng: random.Random, known: list[str], count: int) -> Iterator[tupl
             gold.append((len(text) + len(a), len(text) + len(a) + len(value), kind))
             text += a + value + b
         yield text, gold
+
+
+def runs(rng: random.Random, count: int) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """As sentences(): rows of many numbers, a third of which are numbers of a person."""
+    for _ in range(count):
+        if rng.random() < 0.67:
+            yield _trap(rng, RUNS), []
+            continue
+        a, b = rng.choice(LONG_IDS).split("{}")
+        value = " ".join(_digits(rng, n) for n in (1, 2, 2, 2, 3, 3, 2))
+        yield a + value + b, [(len(a), len(a) + len(value), "id_number")]

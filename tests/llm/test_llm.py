@@ -111,6 +111,30 @@ def test_held_out_sentences():
     assert hit / total > 0.95 and wrong / total < 0.05
 
 
+LONG = [
+    ("Call me on +33 6 12 34 56 78.", "Call me on <PHONE>."), ("tel +33 5 30 23 45 55", "tel <PHONE>"), ("My social security number is 1 85 12 75 108 123 45.", "My social security number is <ID_NUMBER>."),
+    ("values 1 2 3 4 5 6 7 8 9 10", None), ("ratings: 5 4 3 5 4 2 1 5", None), ("Row 12 13 14 15 16 17 18 19", None),
+]
+
+
+def test_numbers_of_many_chunks_are_masked_whole():
+    given = frozenset(n.lower() for n in NAMES)
+    for text, masked in LONG:
+        assert pii.mask(text, pii.find(text, given, pii.model(NAMES))) == (masked or text)
+
+
+def test_every_gold_span_is_a_candidate():
+    from openweave.llm.pii_sentences import runs, sentences
+
+    given = frozenset(n.lower() for n in NAMES)
+    made = [*sentences(random.Random(5), sorted(given), 1500), *runs(random.Random(5), 100)]
+    made += [("Mail me at farid dot vardwick at postbox dot example", [(11, 52, "email")]), ("address: Bergplatz 28\nI moved.", [(9, 21, "address")])]
+    for text, gold in made:
+        assert set(gold) <= {(a, b, k) for a, b, k, _ in pii.candidates(text, given)}, text
+    # a list with names that are no single word trains as well
+    assert pii.train(["Jean-Pierre", "Mary Ann", "O'Neil", "x" * 40, ""], 60)
+
+
 def test_decoding_equals_all_sets_of_spans():
     rng = random.Random(3)
     for _ in range(200):
