@@ -1,4 +1,5 @@
-"""Garbled text from wrong character encodings: precomputed sequences of all encoding pairs, one multi-pattern automaton."""
+"""Garbled text from wrong character encodings: precomputed sequences of all encoding pairs in one multi-pattern automaton, and lead and
+continuation bytes by pattern, reading by reading, for all characters that are not in its table."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r", "cp866", "iso8859_15")
 #: (written, read) pairs of one-byte encodings.
 ONE_BYTE = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "koi8_r"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"))
-#: What may have been written: Latin, Greek, Cyrillic, punctuation, currency, kana; the Han block for HAN_READ_AS only.
+#: What the table holds: Latin, Greek, Cyrillic, punctuation, currency, kana; the Han block for HAN_READ_AS only.
 WRITTEN = ((0x80, 0x250), (0x2C6, 0x2DE), (0x370, 0x460), (0x2010, 0x2045), (0x20A0, 0x20C0), (0x2100, 0x2124), (0x3000, 0x3100), (0xFEFF, 0xFF00), (0xFFFD, 0xFFFE))
 HAN = (0x4E00, 0xA000)
 HAN_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251")
@@ -26,6 +28,8 @@ MEANT = "’‘“”„–…€£«»¡¿"
 #: What is likely enough to be written in a one-byte encoding (fixed values).
 WESTERN = "áéíóúàèìòùâêîôûäëïöüãõñçßåæøœÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜÃÕÑÇÅÆØŒ¡¿«»’‘“”„–…€£"
 LOST = "�"
+#: No sequence is shorter, or holds plain ASCII.
+BESIDE = re.compile(r"[^\x00-\x7F]{2,}")
 #: How often a text may have been garbled again.
 ROUNDS = 4
 
@@ -63,6 +67,17 @@ def sequences() -> dict[str, list[tuple[str, str]]]:
     return table
 
 
+def patterns() -> list[tuple[str, re.Pattern, dict[str, int]]]:
+    """Per reading: its name, what a lead byte with its continuation bytes looks like in it, and the byte of each character shown."""
+    out = []
+    for encoding in READ_AS:
+        byte = {c: b for b in range(0x80, 0x100) if (c := _read(bytes([b]), encoding)) is not None}
+        some = lambda lo, hi: "[" + re.escape("".join(c for c, b in byte.items() if lo <= b < hi)) + "]"  # noqa: B023, E731
+        rest = some(0x80, 0xC0)
+        out.append((f"utf-8>{encoding}", re.compile(f"{some(0xF0, 0xF5)}{rest}{{3}}|{some(0xE0, 0xF0)}{rest}{{2}}|{some(0xC2, 0xE0)}{rest}"), byte))
+    return out
+
+
 def single_tables() -> dict[str, dict[str, str]]:
     """Per one-byte pair: shown character -> written character, where they differ."""
     out = {}
@@ -97,6 +112,7 @@ class Repairer:
         for g, origins in sequences().items():
             self.automaton.add_word(g, (len(g), g, origins))
         self.automaton.make_automaton()
+        self.patterns = patterns()
         self.singles = single_tables()
         self.any_single = re.compile("[" + re.escape("".join({g for t in self.singles.values() for g in t})) + "]")
 
@@ -116,10 +132,15 @@ class Repairer:
 
     def _sequences(self, text: str) -> tuple[str, Counter]:
         found = [(end - n + 1, end + 1, g, origins) for end, (n, g, origins) in self.automaton.iter_long(text)]
-        if not found:
+        more = self._unlisted(text)
+        if not found and not more:
             return text, Counter()
+        emoji = {i for a, b, _, _, how in more if how == 2 for i in range(a, b)}
+        found = [x for x in found if emoji.isdisjoint(range(x[0], x[1]))]
         starts, ends = {x[0] for x in found}, {x[1] for x in found}
         kept = [x for x in found if not self._natural(text, x[0], x[1], (starts - {x[0]}) | (ends - {x[1]}))]
+        if more:
+            kept = self._with_unlisted(kept, [x for x in more if x[4] == 2 or not any(x[0] < y[1] and y[0] < x[1] for y in kept)])
         votes = Counter(pair for *_, origins in kept for pair, _ in origins)
         out, last, used = [], 0, Counter()
         for a, b, _, origins in kept:
@@ -129,6 +150,61 @@ class Repairer:
             used[pair] += 1
         return "".join((*out, text[last:])), used
 
+    def _unlisted(self, text: str) -> list[tuple[int, int, str, list[tuple[str, str]], int]]:
+        """(start, end, sequence, origins, how sure) of matches by pattern that are not in the table, without overlap: 2 for emoji
+        and their kind and for whole words, 1 for what intact text does not hold, 0 for what it may: letters of one case, letters before closing marks."""
+        spans: dict[tuple[int, int], tuple[list[tuple[str, str]], int]] = {}
+        places = [m.span() for m in BESIDE.finditer(text)]
+        for pair, pattern, byte in self.patterns if places else ():
+            for m in chain.from_iterable(pattern.finditer(text, a, b) for a, b in places):
+                g = m.group()
+                data = bytes(byte[c] for c in g)
+                try:
+                    c = data.decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if unicodedata.category(c) in ("Cn", "Co", "Cc") or g in self.automaton:
+                    continue
+                if data[:2] == b"\xf0\x9f":
+                    how = 2
+                elif g.isalpha():
+                    how = int(any(x.islower() and y.isupper() for x, y in zip(g, g[1:])))
+                else:
+                    marks = all(x in MEANT or x in "•™—" or x.isspace() for x in g[1:])
+                    inside = text[m.start() - 1 : m.start()].isalpha() and text[m.end() : m.end() + 1].islower()
+                    how = int(len(g) > 2 and g[0] not in "„‚·‡‰" and (inside or not marks))
+                origins, known = spans.setdefault(m.span(), ([], how))
+                if all(o != c for _, o in origins):
+                    origins.append((pair, c))
+                spans[m.span()] = origins, max(known, how)
+        out: list = []
+        taken: set[int] = set()
+        for (a, b), (origins, how) in sorted(spans.items(), key=lambda x: (-x[1][1], x[0][0] - x[0][1], x[0])):
+            if taken.isdisjoint(range(a, b)):
+                taken.update(range(a, b))
+                out.append((a, b, text[a:b], origins, how))
+        out.sort()
+        runs: list[list] = []
+        for x in out:
+            if runs and runs[-1][-1][1] == x[0]:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        # three side by side are a word: no listed sequence across two of them is meant
+        return [(*x[:4], 2 if len(run) > 2 and not "".join(y[2] for y in run).isalpha() else x[4]) for run in runs for x in run]
+
+    @staticmethod
+    def _with_unlisted(kept: list, more: list) -> list:
+        """Both together, in order. A run of matches side by side counts if one of them is sure, or if several are not letters only."""
+        out, run = [], []
+        for x in [*sorted([*((*k, 1) for k in kept), *more], key=lambda x: x[:2]), None]:
+            if run and (x is None or x[0] != run[-1][1]):
+                if any(y[4] for y in run) or len(run) > 1 and not "".join(y[2] for y in run).isalpha():
+                    out += (y[:4] for y in run)
+                run = []
+            run.append(x)
+        return out
+
     def _single(self, text: str) -> tuple[str, Counter]:
         """One-byte pairs: a character proves a pair where it cannot be meant (another script or a symbol within a Latin word);
         the pair that explains most such places is then applied to all its characters beside Latin letters."""

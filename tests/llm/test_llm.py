@@ -328,6 +328,24 @@ def test_garbled_utf8_round_trip(read):
         assert repair.fix(twice)[0] == text
 
 
+WIDE = ["Great 😀 service 👍🎉!", "Rất tốt, cảm ơn", "ok → fine", "정말 좋은 서비스", "خدمة ممتازة جدا", "שירות מצוין", "服务 很好 的"]
+
+
+@pytest.mark.parametrize("read", mojibake.READ_AS)
+def test_garbled_emoji_in_every_reading(read):
+    repair = mojibake.Repairer()
+    garbled = mojibake._read("Great 😀 service 👍🎉!".encode(), read)
+    assert garbled is None or repair.fix(garbled)[0] == "Great 😀 service 👍🎉!"
+
+
+def test_garbled_characters_outside_the_table():
+    repair = mojibake.Repairer()
+    for read in ("cp1252", "latin-1"):
+        assert [repair.fix(mojibake._read(t.encode(), read))[0] for t in WIDE] == WIDE
+    intact = ["Війна і вії, її мрії. Там сам раб, тамтам, ТАМ.", "Тётя, чёрт и ёлкам", "Spaß”, ß… você»… NÃO”", "3×“x”, BLØ”, Ø…", "„Öäse“", "😀 👍", "정말 خدمة שירות → Rất"]
+    assert all(repair.fix(t)[:2] == (t, 0) for t in intact)
+
+
 def test_one_byte_pairs_losses_and_intact_text(spark):
     repair = mojibake.Repairer()
     for read in ("cp437", "cp1251"):
