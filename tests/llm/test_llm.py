@@ -222,6 +222,14 @@ def test_groups_do_not_mix_and_empty_tables(spark):
     assert clusters.similarity_clusters(d.limit(0), "id", "response", "survey").count() == 0
 
 
+def test_links_between_very_long_texts():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 63, 20_000, dtype=np.uint64).tolist()
+    other = [rng.integers(1, 1 << 63, 20, dtype=np.uint64).tolist() for _ in range(clusters.FEW)]
+    found = list(clusters._links([base, base[:19_000], *other]))
+    assert [(i.tolist(), j.tolist(), w.tolist()) for i, j, w in found if len(i)] == [([0], [1], [0.95])]
+
+
 def test_spectral_confirms_components_of_a_chain():
     n = 300
     i, j = np.arange(n - 1), np.arange(1, n)
