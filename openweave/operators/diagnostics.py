@@ -62,9 +62,9 @@ def imbalance(codes: DataFrame) -> DataFrame:
 
 
 def chi_square(df: DataFrame, group_col: str, flag_col: str) -> DataFrame:
-    """One row: chi-square statistic of group x flag, degrees of freedom, p-value; Yates' correction for 2 x 2.
+    """One row: chi-square statistic of group x flag, degrees of freedom; Yates' correction for 2 x 2. chi_square_p gives the p-value.
 
-    NULL groups are left out. Tables with one group or one flag value give statistic 0 and p 1.
+    NULL groups are left out. Tables with one group or one flag value give statistic 0.
     """
     t = df.filter(F.col(group_col).isNotNull() & F.col(flag_col).isNotNull()).groupBy(F.col(group_col).alias("g"), F.col(flag_col).alias("f")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     rows, cols = t.groupBy("g").agg(F.sum("o").alias("r")), t.groupBy("f").agg(F.sum("o").alias("c"))
