@@ -36,6 +36,7 @@ def canonical(text: Column) -> Column:
 
 #: The characters of FORMATTING, by their Unicode categories, for deletion in one pass.
 _FORMATTING = {c: None for c in range(0x20000) if unicodedata.category(chr(c))[0] in "PZ" or chr(c) in " \t\n\x0b\x0c\r\x85$+<=>^`|~"}
+_BARE = bytes(c for c in range(128) if c in _FORMATTING)
 _FIELD_START = regex.compile(FIELD_START)
 _LABEL = regex.compile(LABEL)
 _MAY = regex.compile(r"[\s*•\-\p{P}]*\p{L}+(?:\s*[:=]|\s+[-–—]\s)")
@@ -48,7 +49,7 @@ def canonical_text(low: str) -> str:
         labels = [m[1] if (m := _LABEL.match(f)) else "" for f in fields]
         if len(fields) >= 2 and "" not in labels and len(set(labels)) == len(labels):
             return "\u0001".join(sorted(f.translate(_FORMATTING) for f in fields))
-    return low.translate(_FORMATTING)
+    return low.encode().translate(None, _BARE).decode() if low.isascii() else low.translate(_FORMATTING)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, groups: list[str], min_words: int = 0) -> DataFrame:
