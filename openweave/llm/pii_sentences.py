@@ -1,4 +1,8 @@
-"""Sentences made by rule, with the places of the personal data in them: what the model of pii.py learns from."""
+"""Sentences made by rule, with the places of the personal data in them: what the model of pii.py learns from.
+
+The frames, names and words are general ones; none is taken from a test table. Names are half common ones, half built of syllables, so
+that the shape of a span and the words around it carry the weight, and not a list.
+"""
 
 from __future__ import annotations
 
@@ -6,73 +10,100 @@ import random
 import re
 from collections.abc import Iterator
 
-# Parts of invented names, places and words.
-GIVEN = "Ada Bruno Chidi Darya Emeka Farid Gulnar Hiroto Imani Jamila Kofi Lena Minh Nkechi Omar Priya Quentin Rashid Sunita Tariq Umar Vera Wanda Yasmin Zofia Benedek Aziza Diego Ingrid Pavel".split()
-STEMS = "Halv Vard Pell Lorr Brack Quarr Thorn Stav Jarn Rusk Kell Fald Yarr Crom Mott Wick Tarn Nask Osk Grev Wend Hest Ulv Zand Bren Holm Ash Lind Berg Marl Dun Kov".split()
-ENDINGS = "worth wick marsh ström sson gaard field ova aki ez holt mere ney low berg etti escu orden ington ley son man ton ski ova ic sen dal stad ham by".split()
-STREETS = "Quarry Foxglove Millrace Larkspur Beacon_Hill West_Orchard Old_Tannery Saltmarsh Alder Cedar Harbour Mill Church Long Station Park Oak Elm".split()
-FRENCH = "des_Tisserands des_Moineaux des_Bouleaux de_la_Gare du_Moulin Victor de_l'Eglise Pasteur".split()
-GERMAN = "Ahorn Lindenhof Weiher Garten Birken Kirch Schul Berg".split()
-TOWNS = "Northwick Eastmere Port_Sallow Westbrook Millford Lowton Kings_Ferry".split()
-DOMAINS = "mailhut inboxly postbox quickpost letterfox webmail acme my-post fastmail corp".split()
-TLDS = "test example invalid com org net example.net co.example co.uk example.org io".split()
-NOUNS = "flight sensor bicycle tunnel dog vacation thread elevator workshop headset eyesight garden tea syrup blade refund website garment cushion trip roadmap policy deadline handle price mug carton lantern invoice router desk webcam kettle label cable charger wallet zipper soap locker meeting commute lid pump".split()
-VERBS = "looked felt motivated exposed surprised recommended archived updated renamed scratched clarified taught bought lent shared stored doubted borrowed counted balanced praised blocked delighted distracted funded halved complicated rejected trusted simplified postponed missed omitted lifted forgot hid sold ruined improved covered closed dropped replaced matched noticed repaired published tested saved ordered expanded polished".split()
-ADVERBS = "tightly reluctantly secretly gradually occasionally eventually carelessly honestly firmly gently suddenly lately fully kindly nervously smoothly looked felt motivated exposed surprised recommended archived updated renamed scratched clarified taught bought lent shared stored doubted borrowed counted balanced praised blocked delighted distracted funded halved complicated rejected trusted simplified postponed missed omitted lifted forgot hid sold quickly barely rudely openly calmly really often loosely daily nicely".split()
-ADJECTIVES = "cosy greasy cheerful awkward generic stressful public gradual patient crisp fair warm tight bitter sweet narrow remote strange lovely helpful tiring lopsided sturdy bleak cheap noisy polite gritty matte modern vague rare hectic dusty smooth honest flimsy".split()
-DIGITS = "oh one two three four five six seven eight nine zero".split()
-BRANDS = "Zor Wes Tam Pel Rov Nim Kan Lup Mod Dra Hul Sol Bru Vek".split()
+# Invented parts of sentences, names and places.
+GIVEN = "James Maria Wei Fatima Carlos Anna Mohammed Sofia David Elena Hans Yuki Pierre Chloe Ivan Olga Raj Meera Kwame Zainab Liam Emma Noah Lucas Mateo Camila Javier Helena Olivia Thomas Lukas Greta Stefan Katarzyna Andrei Ioana Ahmed Layla Chen Mei Hiroshi Sakura Tunde Ngozi Thabo Naledi Sven Astrid Paolo Giulia Marco Lucia Jean Claire Antoine Julie Peter Susan Robert Linda Michael Karen Steven Laura Brian Megan".split()
+SURNAMES = "Smith Johnson Williams Brown Garcia Miller Davis Martinez Lopez Wilson Anderson Taylor Moore Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Torres Nguyen Hill Adams Baker Nelson Carter Mitchell Perez Roberts Turner Phillips Campbell Parker Evans Edwards Collins Stewart Morris Murphy Cook Rogers Bell Cooper Bailey Kelly Howard Ward Cox Richardson Watson Brooks Wood Bennett Gray Hughes Price Sanders Patel Khan Singh Kumar Sharma Schmidt Schneider Fischer Weber Meyer Wagner Becker Hoffmann Rossi Russo Ferrari Dubois Moreau Laurent Petit Ivanov Petrov Kowalski Nowak Novak Horvat Andersson Johansson Larsen Hansen Nielsen Virtanen Tanaka Suzuki Okafor Adeyemi Mensah Osei O'Brien McCarthy Silva Santos Ferreira Mendoza Castillo Romero".split()
+ONSET = "b br c ch d dr f fl g gr h j k kr l m n p r s st t tr v w y z sh th".split()
+VOWEL = "a e i o u ai ei ou ee".split()
+CODA = "n r l s m nd rt ck st rn ld nn sk th x".split()
+TAIL = "son man ton ford ley field wood ham berg stein ski sky ov ova ic vic ez es ini elli sen dottir land well worth more by escu oglu aki mere ng".split()
+STREETS = "Maple Oakwood Willow High King's Victoria Queen Green Chestnut Elmwood Birch Hazel Bridge Castle Market Spring Sunset Lakeview Hillside Washington Lincoln Albert Garden_View Old_Court Great_Western St_John's Manor Meadow Pine Walnut Cherry_Tree River North South Upper_Hill".split()
+WAYS = "Road Street Lane Avenue Drive Court Close Crescent Way Gardens Grove Terrace Square Hill Mews Park Place Parkway Row Walk Rd St Ln Ave Dr Blvd Boulevard Rd. St. Ave. Blvd.".split()
+FRENCH = "de_la_Paix Victor_Hugo du_Temple de_l'Abbaye des_Lilas des_Fleurs Pasteur de_Rivoli du_Bac des_Acacias".split()
+SPANISH = "Mayor Real de_Toledo del_Sol Gran_Victoria de_la_Luna San_Juan Colón".split()
+GERMAN = "Haupt Bahnhof Goethe Rosen Linden Wiesen Schiller Wald Mühlen Kastanien Sonnen".split()
+TOWNS = "New_York Rio_Grande San_Remo Cape_Town Hong_Kong Leeds Bristol Madrid Springfield Portland Oxford Lyon Hamburg Cork Salem Fairview Little_Marsh New_Haven Kings_Norton Upper_Dale".split()
+DOMAINS = "gmail outlook yahoo mycompany webpost protonbox school-mail city hotmail example firm blue-net".split()
+TLDS = "com org net co.uk de fr io info edu example test ie com.au co".split()
+NOUNS = "order parcel phone laptop battery screen bag jacket coffee cake table chair window door bus train ticket hotel room service delivery app account password printer office project report salary shift break team training course teacher lesson doctor nurse visit queue price menu kitchen garden bottle box shirt shoe lamp radio keyboard cable filter bucket towel carpet fridge oven sofa pillow bike helmet market shop store colour smell taste sound quality size weight contract bill refund support email message answer question survey manager neighbour supervisor colleague product brand item package label cover wheel engine brush soap cream sauce bread butter cheese".split()
+VERBS = "broke arrived worked failed helped changed opened closed bought sold used cleaned washed moved kept lost found liked loved hated wanted needed tried returned shipped delivered explained answered ignored fixed replaced painted cooked tasted smelled felt looked seemed became stayed stopped started finished improved reduced increased ordered cancelled compared checked tested carried pushed pulled lifted dropped praised blamed trusted doubted noticed missed expected recommended".split()
+ADVERBS = "quickly slowly badly nicely barely hardly really always never often sometimes rarely usually mostly nearly almost suddenly finally eventually clearly strangely politely rudely carefully carelessly happily sadly loudly quietly firmly gently honestly fully partly daily weekly again twice once yesterday today later".split()
+ADJECTIVES = "good bad new old big small long short heavy light cheap expensive broken clean dirty fresh stale warm cold soft hard loud quiet fast slow bright dark pretty ugly strong weak thick thin sweet bitter salty sour friendly rude helpful useless useful awful lovely terrible wonderful strange normal simple difficult easy early late empty full sharp dull rough smooth solid loose tight modern generous careful careless patient public private typical".split()
+ROLES = "manager supervisor colleague neighbour doctor nurse teacher boss technician driver waiter landlord receptionist dentist trainer assistant agent consultant engineer cashier friend cousin brother sister director lawyer therapist plumber courier husband wife partner mother father son daughter tutor coach chef".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Mr. Mrs. Ms. Dr. Prof.".split()
+SAYS = "said told_me helped_me called replied explained_it wrote_back answered was_kind was_rude was_great never_came handled_it handled_the_complaint handled_my_order fixed_it promised_a_refund served_us came_late did_a_great_job took_my_call knows_more sorted_it_out refused_to_listen has_a_copy lives_next_door".split()
+DEPARTMENTS = "sales support accounting marketing finance logistics reception billing management payroll it hr".split()
+DIGITS = "zero oh one two three four five six seven eight nine".split()
+
+#: Given names that are words of everyday language as well.
+WORDLIKE = "mark will may rose grace hope faith pat rob frank bill joy art sunny june april dawn robin jack drew sue chase grant miles dean penny ray".split()
+#: Words of everyday language: a span made of them is rarely a name.
+ORDINARY = frozenset(f"{' '.join(NOUNS + VERBS + ADVERBS + ADJECTIVES + ROLES + DEPARTMENTS)} food water wrong right day night week time hour visit team desk style scent wood stone line branch centre part box gift set kit pack page press maps year people someone nobody everyone others needs need compared included because although yet than per euro pound street road lane avenue drive park hill square way row truth front side end start first second third last next old food music city town village country habit case fact luck".split())
 
 NAME_FRAMES = (
-    "My manager {} said it was fine.", "Ms {} from the store was rude.", "Mr {} from the shop was kind.", "Dr {} was polite.", "Please ask for {}, who served me.", "The technician, {}, never came.",
-    "I spoke with {} twice.", "{} handled the case.", "Signed: {}", "Regards, {}", "cc {}", "My name is {} by the way.", "Kind regards, {}", "Sincerely, {}", "I talked to {} yesterday.",
-    "My supervisor {} told me so.", "Mrs {} helped.", "I was helped by {} at the counter.", "Thanks to {} at the front desk.", "{} from accounting told me so.", "{} from accounting told me so.", "{} from sales called.", "{} handled the case.", "My neighbour {} has the same one.", "My colleague {} called.",
+    "I {v} {} {r}.", "We {v} {} at the {n}.", "They {v} {} {r}.", "{} {v} the {n}.", "{} {v} {r} for the {n}.", "The {n}, {}, {v} it.", "The {n} {v} {} twice.", "to {v} {} on the {n}", "because {} {v} the {n}", "so {} {v} us", "The {role} {} {v} {n} over me.", "the {a} {} {v} it",
+    "I must praise {} for the {n}.", "{} and the {role} {v} it.", "Both {} and the {role} {v}.", "{} picked the {n} up.", "I asked {} {r}.", "Last week {} {v} our {n}.", "My {role} {} {v} it.", "When {} left, the {n} {v}.", "the {n} of {}", "we saw {} at the {n}", "They gave {} my {n}.", "{}, a {role}, {v} the {n}.", "{} signed for the {n}.", "{} has been {a} to us.",
+    "Contact {} if there is a problem.", "Please contact {}.", "The {role}, {}, {say}.", "My {role} is {}.", "My {role} {} {say}.", "Our {role} {} {say}.", "the {role} ({}) {say}", "{title} {} {say}.", "{title} {} {say}.", "I saw {title} {} about it.", "{} {say}.", "{} {say}.", "I met {} at the {n}.",
+    "We were looked after by {}.", "I dealt with {} and it was {a}.", "I spoke to {} about the {n}.", "Thank you, {}!", "Thanks to {} the {n} {v}.", "Many thanks to {} for the {a} {n}.", "A big thank you to {}, who {v} it.", "Ask {} about it.", "You should ask for {}.", "Just ask for {}, the {role}.",
+    "Best, {}", "Best wishes, {}", "Yours, {}", "Regards, {}", "Kind regards {}", "Signed {}", "Sincerely, {}", "Cheers, {}", "- {}", "Dear {}, the {n} {v}.", "Hello {}, my {n} {v}.", "Hi {}", "My name is {}.", "my name is {} and my {n} {v}", "I am {} and I am {a}.", "This is {} writing.", "Name: {}", "Customer: {}", "cc: {}", "Attn: {}",
+    "{} from {dep} {say}.", "{} from {dep} {say}", "{} in {dep} {say}.", "According to {} it is {a}.", "A {role} called {} {say}.", "a {role} named {} {v} it", "I was told by {} to wait.", "It was {} who {v} my {n}.", "{} and I {v} the {n}.", "They sent {} to fix the {n}.", "I gave the {n} to {}.", "Call {} at the {n}.", "Reach out to {} for help.", "He said {} would call back.", "I talked with {} {r}.", "I have met {} {r}.", "the call with {} was {a}",
 )
-EMAIL_FRAMES = ("contact = {}", "my mail: {}", "e-mail {}, please reply", "Write to {} if needed.", "You can reach me under {}", "({})", "<mailto:{}>", "Mail me at {}", "{}", "email: {}", "You can reach me under <mailto:{}>", "contact = <mailto:{}>", "Write to <mailto:{}> if needed.", "my mail: <mailto:{}>")
-PHONE_FRAMES = ("Call me on {}.", "tel {}", "phone: {}", "whatsapp {}", "They can ring {} any time.", "My number is {}, evenings only.", "Text {} for details.", "mobile: {}", "fax {}", "Ring {} before noon.", "My phone is {}.")
-ADDRESS_FRAMES = ("I live at {}.", "My place is {}.", "Ship it to {} next time.", "The courier left it at {}, not at my door.", "Pick it up from {}.", "address: {}", "Send it to {}, please.", "We moved to {} in May.")
+EMAIL_FRAMES = ("Email me at {}.", "Send it to {}", "my address is {}", "Mail: {}", "contact {} please", "Write to {} for the receipt.", "{}", "({})", "<mailto:{}>", "reply to <mailto:{}>", "I can be reached at {}, thanks.", "E-mail={}", "you can find me at {}", "Use {} for the refund.", "My work mail, {}, is full.")
+PHONE_FRAMES = ("Phone me on {}.", "Tel: {}", "call {} after six", "my mobile is {}", "You can text {}.", "My phone number is {}, thanks.", "fax: {}", "cell {}", "Ring me at {} tomorrow.", "They can reach me on {}.", "whatsapp: {}", "number {} rings all day", "phone {}", "Contact: {}")
+ADDRESS_FRAMES = ("I live at {}.", "My address is {}.", "address: {}", "Deliver to {} please.", "It was sent to {} by mistake.", "We are at {} now.", "Please ship to {}.", "The parcel for {} got lost.", "{} is where I live.", "It is at {}, behind the {n}.", "Left at {}, by the {n}.", "My house, {}, was skipped.", "Come to {} for the {n}.", "Our flat at {} is {a}.", "I moved from {} last year.")
 TRAPS = (
-    "See you @ noon.", "Sold @ {d2}.99 each at {b}.", "Asked for five dots and got one at a time.", "Order {d5}-{d1} came on {d2}-{d2}-{d4}.", "Our plan covers {d1} 000 000 points per year.", "Room {d2} on floor {d1} was booked for {d2}-{d2} people.",
-    "Grace period ended after {d2} days.", "Row {d2} Lane swimming is included.", "The Northgate branch and the Old Mill branch both closed.", "My ticket was #A-{d5} and it is still open.", "Batch {d4}.{d2}.{d2} had version {d1}.{d1}.{d2} on it.",
-    "Rose Garden is my favourite scent.", "Tax went up by {d2}.{d1} percent.", "Hope this helps.", "The driving licence holder fell apart.", "Invoice {d4} {d4} {d2} shows it all.", "Tel Aviv style salad was on offer.",
-    "It was {d1} Star Avenue-style luxury for {d2} euros.", "They say support is there 24/7, aisle {d1} next to Street Food.", "Saw it on social media {d2} times.", "Grab {d3}-{d4} from the catalogue, the code is on page {d3}.", "ISO 9001 is printed on the box.",
-    "ID tag {d4}-B hung on the {b} jacket.", "My passport cover from {b} came in the wrong colour.", "The {b} costs ${d1},{d3}.00 now.", "Model TX-{d4} replaced the {b} {d2}.", "Mark my words, the {b} line will be gone by {d4}.",
-    "May order the {b} again in June.", "Will buy again from the {b} shop.", "Our {a} {n} needs a {a} neighbour, not another {n}.", "My manager {v} the {n}.", "My manager felt {a} and the {n} {r} {v} our {n}.", "The neighbour was {a}, someone {r} {v} it.",
-    "The {n} {v} my manager {r}.", "A {a} neighbour and a {a} {n} are from the shop.", "Faith in the {n} was lost.", "Sunny days and a {a} {n}.", "Frank talk about the {n}.", "The bill from {b} was {a}.", "Rob the {n} of its {a} lid.", "pat the {n} dry.",
-    "{n} was rude.", "because its {n} was rude.", "The {n} never came.", "I {r} {v} the {n} because its {n} was {a}.", "thanks to a tip", "We asked for a {a} {n}.", "{b} {d3} {r} {v} my {n}.", "the {b} {d2} {n} was {a}", "too {a} compared to {b} {d3}, {n} included.",
-    "{d5} {d4} {d5}{d2} {d3} {d5}{d3}", "{d3} {d5}{d2} {d4} {d5}{d1} {d3} {d5} {d4}", "[{d2}:{d2}:{d2}] E{d4} 0x{d5}a {n}={d4}", "{b},{d1},{d2}.{d2},{a}", "Regards for the {n} are {a}.", "It's hard to say whether the {n} or the {a} {n} {v} us.",
-    "{a}: {a} {n} {r} {v}; Manager: {a} {n} {r} {v}", "Manager: {a} {n} {r} {v}. Team: {a} {n} {r} {v}", "* Supervisor: {a} {n} {r} {v}", "Manager - {a} {n} {r} {v}", "manager={a} {n} {r} {v}", "Neighbour: {n} {n}", "Compared with others, people {v} the {n}.", "There's hardly a {n} that {v} the manager as {r} as this {a} neighbour. There's hardly a {n}.",
-    "[{d2}:{d2}:{d2}] E{d4} 0x{h} {n}={d4}", "E{d4} 0x{h} {n}={d4}", "0x{h}", "{b}   {d1}   {d2}.{d2}   {a}", "{b}\t{d2}\t{d2}.{d2}\t{a}", "{b} | {d2} | {d2}.{d2} | {a}", "{d5} {d5}{d1} {d3} {d4}", "{d4} {d3} {d5}{d3} {d5} {d5}{d1} {d2} {d3}", "{d3} {d4} {d4} {d5} {d3}", "{d5} {d5}{d1} {d5}", "{d4} {d5}{d2} {d3} {d5}{d1}",
-    "the {a} supervisor {r} {v} every {n}", "They {v} our {a} supervisor without any warning.", "The supervisor looked {a}, and we {v} a {n}.", "Truth be told, I wish the {n} had been less {a}.", "as rudely as this {a} supervisor. The {n} {v} it.", "yet the supervisor {v} {r}", "Nobody {v} the manager although the {n} looked {a}.", "the manager {v} me and the {n}", "It's hard to say whether the manager or the {a} {n} {v} us.", "a {a} manager instead of that {a} {n}", "Our {a} manager needs a {n}.", "My {n} felt {a} and the manager {r} {v} our {n}", "I {v} the neighbour because its {n} was {a}", "what {v} me most was the {a} supervisor within an hour", "as {r} as this {a} manager {v}", "my neighbour {r} {v} the {n}", "the neighbour {v} my {n} {r}",
-    "Call {d2} was missed.", "Page {d3} of {d3} is {a}.", "Serial number {d5}{d3} is on the {n}.", "SKU {d5}-{d3} was {a}.", "Part no. {d4}-{d3} is missing.", "tracking code {d5}{d5} is {a}", "Ticket {d5}{d2} is open.", "Meet me at the {n} at {d1}.", "With a {a} {n} and a {a} {n} you can't go wrong.",
-    "Our {n} needs a {a} {n} from the {n} by noon.", "I spoke with a {a} {n} twice.", "My name is on the {n}.", "Box {d2} of {d2} was {a}.", "The gift box {d1} was {a}.", "{d2} {a} {n} drive the price.", "The {n} is on the street at {d1}.", "See {d3} street food stalls.",
+    "The {n} was {a} and the {n} {v} {r}.", "My {role} {v} the {n} {r}.", "The {role} was {a}, but the {n} {v}.", "My {role} said it was {a}.", "Our {role} felt {a} and the {n} {v}.", "The {a} {role} {r} {v} every {n}.", "A {role} {v} it {r}.", "{Role}: {a} {n} {v} {r}", "{role}={a} {n} {v}", "{Role} - {a} {n} and {n}", "* {Role}: {n} {v}; {Role}: {a} {n}", "without any {role} the {n} {v}", "the {role} {v} me and my {n}", "It seems the {role} or the {a} {n} {v} us.", "as {a} as this {role} {v} the {n}",
+    "I spoke with a {a} {role} {r}.", "I asked for a {a} {n}.", "thanks to a {a} {n}", "My name is on the {n}.", "The {n} {v} {r}.", "It {v} because the {n} was {a}.", "Regards for the {n} are {a}.", "Best {n} of the year.", "Hope this helps.", "Dear team, the {n} is {a}.", "Hello, my {n} {v}.", "Call the {n} {r}.", "Contact was {a}.", "They handled the {n} {r}.", "It was handled {r}.", "The {n} from {dep} {v}.", "nobody from {dep} called", "someone in {dep} {v} it", "The man from {dep} was {a}.",
+    "The {B} is {a}.", "Our {B} {v} {r}.", "I bought a {B} {d3} for my {n}.", "The {B} {d2} {n} was {a}.", "Bought the {B} {r}.", "Loved the {B}.", "my new {B}, the {a} one", "{B} {d3} {v} the {n}.", "Nothing beats {B}.", "the {n} from {B} was {a}", "My {role} from {B} {v} it.", "Will buy from the {B} shop.", "Compared with {B} {d2} it is {a}.", "The {B} {n} and the {B} {n} {v}.", "They opened a {B} branch.", "The {St} branch {v}.", "The {St} {Way2} bus was {a}.", "The {St} line is {a}.", "The bill from {B} came {r}.",
+    "The {n}-{g} {v} {r}.", "my {n}-{g} {r}", "a {a} {g}", "The {g}, yet the {n} {v}.", "every {g} because the {n} {v}", "the {a} {n} {g} and the {n}", "{G} {r} {v} the {n}.", "{G} {Nn} is a {a} {n}.", "The {Aa} {Nn} {v}.", "{Nn}, {Nn} and {Nn}", "we {v} the {g} although it was {a}", "out of {g} {n}", "{Aa} {Nn} {Vv} {r}", "some {g} {v} the {n}",
+    "{d1} left @ {d1}.{d2} each", "Bought @ {d2}.{d2} each at {B}.", "{n}, {n}, {n}-{g}, {B}", "the {n}-{g} {n} was {a}", "as {a} {n} {g} goes", "the {a} {role} {a} {n}", "{a} {n}, {a} {role}, {a} {n}", "{Nn} {d3} {r} {v} my {n}.", "{B} {d3} {r} {v} my walk.", "Grace Period ended after {d2} days.", "{G} {Nn} ended {r}.",
+    "{Tw} style {n} {v}.", "Street Food from the {n} was {a}.", "Fast Food {v}.", "next to Street Food on floor {d1}", "the Home Office {v}", "the Help Desk and the Front Desk {v}", "the {Tw} office {v} {r}", "I live in {Tw}.", "They moved to {Tw} {r}.", "the {Tw} team and the {n}", "at the {Tw} branch the {n} {v}", "A {Tw} {n} costs more.", "The {role} {r} {v} the {n}.", "my {role} {v} us within an hour", "the {a} and {a} {role} across town {v}", "our {role} between two {n}s {v}", "{Role}: {a} {n} {r} {v}", "{Role} - {a} {n} {r} {v}", "{role}={a} {n} {r} {v}; {role}={a} {n} {v}", "the {n} or the {role} {r} {v} us", "a {role} {r} {v} my {n} because its {n} was {a}", "no {role} {v} {r} before noon", "{Role} {a} {n} {v}", "the {role} although {a} {v}",
+    "Saw it on {D} with a {n}.", "In {Mo} the {n} {v}.", "{Mo} and {D} were {a}.", "May I return the {n}?", "Will the {n} last?", "Mark the {n} as {a}.", "Rose {n} and {a} {n}.", "Sunny {n}, {a} {n}.", "Grace and {n} matter.", "Bill me {r}.", "Frank words about the {n}.", "Hope and {a} {n}.", "Pat the {n} dry.", "Art and {n} are {a}.", "Rob the {n} of its {n}.", "Joy of a {a} {n}.", "Faith in the {n} is {a}.", "I will {r} pat the {n}.", "may the {n} be {a}", "Happy Birthday cake was {a}.", "The New York style {n} is {a}.", "French Press coffee {v}.", "Italian {n} is {a}.", "Google Maps {v}.", "the Customer Service desk {v}", "The Sales Team {v}.",
+    "Order {d5}-{d1} came on {d2}-{d2}-{d4}.", "Order {d4} {d4} {d2} is late.", "Invoice {d5}{d3} is wrong.", "Invoice no. {d4} {d4} is wrong.", "ticket #{U}-{d5} is open", "Ticket {d5}{d2} is open.", "SKU {d5}-{d3} is {a}.", "Serial {U}{U}{d5}{d3} is on the {n}.", "Part no. {d4}-{d3} is missing.", "tracking {d5}{d5} is {a}", "model {U}{U}-{d4} is {a}", "code {U}{d4}{U}{d2} did not work", "voucher {d4}-{d4}-{d2}", "Version {d1}.{d1}.{d2} {v}.", "Batch {d4}.{d2}.{d2} was {a}.", "barcode {d5}{d5}{d3}", "It cost ${d1},{d3}.00.", "{d1},{d3},{d3} points a year", "{d2} 000 000 points", "page {d3} of {d3}", "The code is on page {d3}.", "ISO {d4} is printed on it.", "from {d4} to {d4}", "{d3} x {d3} x {d2} cm", "{d2}:{d2}:{d2} {d2}/{d2}/{d4}", "{d2}.{d2}.{d4}", "open 24/7", "{d4}-{d4} season", "Room {d2} on floor {d1}, {d2}-{d2} people", "catalogue {d3}-{d4}, page {d2}", "lane {d1} was closed", "row {d2} lane {d1}", "{d2} square meals", "box {d1} of {d2}", "The box {d2} was {a}.", "aisle {d1} Street Food", "{d2} {a} {n} drive sales", "{d1} star avenue style {n}", "{d2} way {n}", "{d3} park visitors",
+    "my passport cover is {a}", "The tax went up by {d2}.{d1} percent.", "A driving licence holder {v}.", "The ID badge was {a}.", "ID tag {d4}-{U} hung on the {n}.", "my card was refused", "at {d1} o'clock @ the {n}", "{d2} @ {d1}.99 each", "five stars and one dot at the end", "one at a time", "two or three times, maybe four", "[{d2}:{d2}:{d2}] ERR{d4} 0x{h} {n}={d4}", "E{d4} 0x{h}", "0x{h} 0x{h}", "{h}{h}", "a,b,{d1},{d2}.{d2},{n}", "{n} | {d2} | {d2}.{d2} | {a}", "{n}\t{d2}\t{d2}.{d2}", "{d5} {d4} {d5}{d2} {d3}", "{d3} {d5}{d2} {d4} {d5}{d1}", "{d4} {d4} {d5}{d3} {d5} {d2}", "{d4}{d3} {d5} {d5}{d1}", "{d4} {d3} {d5}{d3} {d5} {d5}{d1} {d2} {d3}", "{d5}{d2} {d3}{d3} {d5}",
 )
-#: Rows of numbers that are no personal data, and frames of numbers of seven chunks that are.
+#: Rows of numbers that are no personal data, and frames of numbers of many chunks that are.
 RUNS = (
     "values {d1} {d1} {d1} {d1} {d1} {d1} {d1} {d2}", "{d2} {d2} {d2} {d2} {d2} {d2}", "[{d2}:{d2}:{d2}] {d1} {d2} {d3} {d2} {d2} {d2} {d2}", "We scored {d1} {d1} {d1} {d1} {d1} {d1} in the {n}.", "{d1} {d1} {d1} {d1} {d1} {d1} {d1} {d1} {d1}",
-    "Rows {d2} {d2} {d2} {d2} {d2} {d2} {d2} of the {n}.", "{b} {d1} {d2} {d1} {d2} {d1} {d2} {d3}", "lottery {d1} {d1} {d2} {d2} {d2} {d2}", "{n} {d1} {d2} {d2} {d2} {d2} {d2}",
+    "Rows {d2} {d2} {d2} {d2} {d2} {d2} {d2} of the {n}.", "{B} {d1} {d2} {d1} {d2} {d1} {d2} {d3}", "lottery {d1} {d1} {d2} {d2} {d2} {d2}", "{n} {d1} {d2} {d2} {d2} {d2} {d2}",
 )
-LONG_IDS = ("They wrote down {} as my social security number.", "My social security number is {}.", "social security {}", "{}, that is me in their records.")
+LONG_IDS = ("My social security number is {}.", "social security {}", "they have {} as my social security number", "insurance number: {}")
 
 
 def _digits(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(n))
 
 
+def _upper(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+
+
 def _case(rng: random.Random, s: str) -> str:
     x = rng.random()
-    return s.upper() if x < 0.12 else s.lower() if x < 0.28 else s
+    return s.upper() if x < 0.1 else s.lower() if x < 0.24 else s.title() if x < 0.3 else s
+
+
+def _syllables(rng: random.Random) -> str:
+    return (rng.choice(ONSET) + rng.choice(VOWEL) + rng.choice(CODA)).capitalize()
+
+
+def _surname(rng: random.Random) -> str:
+    x = rng.random()
+    if x < 0.4:
+        return rng.choice(SURNAMES)
+    return _syllables(rng) + (rng.choice(TAIL) if x < 0.9 else "")
 
 
 def _name(rng: random.Random, known: list[str]) -> str:
-    first = rng.choice(GIVEN) if rng.random() < 0.5 or not known else rng.choice(known).capitalize()
-    last = rng.choice(STEMS) + rng.choice(ENDINGS)
-    return _case(rng, rng.choice((f"{first} {last}",) * 5 + (f"{last}, {first}", f"{first[0]}. {last}", f"{first} {rng.choice('ABCDEFKLMR')}. {last}", first)))
+    x = rng.random()
+    first = f"{rng.choice(GIVEN)}-{rng.choice(GIVEN).lower() if rng.random() < 0.5 else rng.choice(GIVEN)}" if x < 0.03 else rng.choice(GIVEN) if x < 0.35 or not known else rng.choice(known).capitalize() if x < 0.75 else _syllables(rng) + rng.choice("aeiou")
+    last = _surname(rng)
+    return _case(rng, rng.choice((f"{first} {last}",) * 6 + (f"{last}, {first}", f"{first[0]}. {last}", f"{first} {rng.choice('ABCDEFKLMR')}. {last}", first, last)))
 
 
 def _email(rng: random.Random, known: list[str]) -> str:
-    first, last = rng.choice(GIVEN + [k.capitalize() for k in known[:30]]), rng.choice(STEMS) + rng.choice(ENDINGS).replace("ö", "o")
-    local = rng.choice((f"{first}.{last}", f"{first}_{last}", f"{first}-{last}", f"{first}{last}", f"info{_digits(rng, 2)}", f"me{_digits(rng, 2)}+survey", f"orders{_digits(rng, 2)}+survey", f"hq{_digits(rng, 2)}")).lower()
+    first, last = rng.choice(GIVEN + [k.capitalize() for k in known[:30]]), _surname(rng).replace("'", "")
+    local = rng.choice((f"{first}.{last}", f"{first}_{last}", f"{first}-{last}", f"{first}{last}", f"{first[0]}{last}", f"info{_digits(rng, 2)}", f"{first}{_digits(rng, 2)}+news", f"shop{_digits(rng, 2)}+survey", f"hello{_digits(rng, 3)}")).lower()
     address = f"{local}@{rng.choice(DOMAINS)}.{rng.choice(TLDS)}"
     how = rng.random()
     if how < 0.14:
@@ -90,95 +121,100 @@ def _email(rng: random.Random, known: list[str]) -> str:
 
 def _phone(rng: random.Random) -> str:
     a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    k = rng.randrange(14)
-    return (f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"{b}-{c}", f"+44 7{a} {b} {c[:3]}", f"07{a} {b}{c[:3]}", f"020 {c} {_digits(rng, 4)}", f"+49 (0)30 {_digits(rng, 5)} {b}",
-            f"0044 7{a}{b}{c[:3]}", " ".join(rng.choice(DIGITS) for _ in range(rng.choice((7, 7, 10)))), f"{a}-{b}-{c}", f"+33 {a[0]} {b[:2]} {c[:2]} {c[2:]} {a[1:]}")[k]
+    country = rng.choice(("44", "49", "33", "34", "39", "61", "91", "353"))
+    k = rng.randrange(18)
+    return (f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"{b}-{c}", f"+{country} 7{a} {b} {c[:3]}", f"07{a} {b}{c[:3]}", f"020 {c} {_digits(rng, 4)}", f"+49 (0){rng.choice(('30', '40', '89', '221'))} {_digits(rng, 5)} {b}",
+            f"00{country} 7{a}{b}{c[:3]}", " ".join(rng.choice(DIGITS) for _ in range(rng.choice((7, 7, 10)))), f"{a}-{b}-{c}", f"+33 {a[0]} {b[:2]} {c[:2]} {c[2:]} {a[1:]}", f"0{a} {b} {c}", f"0{a[:2]}/{b}{c}", f"0{a}{c[0]} {b} {c[1:]}", f"+{country}{a}{b}{c}")[k]
 
 
 def _id(rng: random.Random) -> tuple[str, tuple[str, ...]]:
-    d = lambda n: _digits(rng, n)
-    up = lambda n: "".join(rng.choice("ABCDEGHJKLMNPQRSTXZ") for _ in range(n))
+    d, up = (lambda n: _digits(rng, n)), (lambda n: _upper(rng, n))
     k = rng.randrange(6)
+    loose = ("{} is mine.", "{}, as the clerk wrote.", "They have {} on my file.", "I gave them {} twice.", "{} is how they find me.")
     if k == 0:
-        return rng.choice((f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}")), ("They wrote down {} as my social security number.", "My SSN is {}.", "They asked for my social, {}!", "social security {}", "{}, that is me in their records.")
+        return rng.choice((f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}")), ("My SSN is {}.", "SSN: {}", "social security number {} was asked for", "They wanted my social security number, {}, by mail.", "my social is {}", "{} is my social security number", "{} was on the form as me.", *loose)
     if k == 1:
-        return rng.choice((f"QQ {d(2)} {d(2)} {d(2)} {rng.choice('ABCD')}", f"QQ{d(6)}{rng.choice('ABCD')}", f"{up(2)} {d(2)} {d(2)} {d(2)} {rng.choice('ABCD')}")), ("My national insurance number {} was on the form.", "NI {}", "They still have {} on file for me.", "{} is what the clerk typed in.")
+        return rng.choice((f"{up(2)} {d(2)} {d(2)} {d(2)} {rng.choice('ABCD')}", f"{up(2)}{d(6)}{rng.choice('ABCD')}")), ("National insurance number: {}", "NI number {}", "my national insurance is {}", "NINO {}", "{} was typed in wrongly.", "They kept {} on record.", *loose)
     if k == 2:
-        return rng.choice((f"{up(2)}{d(7)}", f"{up(1)}{d(8)}", f"{up(2)} {d(7)}")), ("passport {} was copied at the desk.", "Passport no. {}", "My passport {} expired.", "They scanned {} at the border.", "{} is in my passport.")
+        return rng.choice((f"{up(2)}{d(7)}", f"{up(1)}{d(8)}", f"{up(2)} {d(7)}", f"{up(1)}{d(2)}{up(1)}{d(2)}{up(1)}{d(2)}", d(9))), ("Passport number {}", "my passport {} ran out", "passport: {}", "The passport, {}, got lost.", "passport no {}", "Passport no. {}", "my passport, no. {}")
     if k == 3:
-        return rng.choice((f"{d(8)}-{rng.choice('ABDH')}", f"{up(1)}{d(2)}{up(1)}{d(5)}")), ("They noted my ID card number {}.", "identity card {}", "I had to show my card, {}, to get in.", "my ID: {}")
+        return rng.choice((f"{d(8)}-{up(1)}", f"{d(8)}{up(1)}", f"{up(1)}{d(2)}{up(1)}{d(5)}", f"{up(2)}{d(6)}")), ("ID card {}", "identity card number: {}", "my national ID is {}", "I showed my ID card ({}) twice.", "I showed my card, {}, at the door.", "identity number {}", "ID no. {}")
     if k == 4:
-        return rng.choice((f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(3)}/{d(5)}")), ("My tax number is {}.", "tax id: {}", "They kept {} from my tax letter.", "{} is my number at the tax office.")
-    return f"{(up(5))}{d(6)}{rng.choice('ABC')}{d(1)}{up(2)}", ("Driving licence {} was refused.", "my licence {} expired", "They copied {} off my licence.", "licence no. {}")
+        return rng.choice((f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(3)}/{d(5)}", f"{d(3)}/{d(3)}/{d(4)}")), ("Tax ID {}", "tax number: {}", "Tax no. {}", "tax id: {}", "my tax reference is {}", "the tax office knows me as {}", "They copied {} from my tax form.", "{} is my tax number.")
+    return rng.choice((f"{up(5)}{d(6)}{up(1)}{d(1)}{up(2)}", f"{up(1)}{d(3)}-{d(4)}-{d(4)}", f"{up(1)}{d(7)}")), ("driving licence {}", "Driver's license: {}", "my licence number is {}", "licence {} has expired", "Licence no. {}", "They wrote {} from my licence down.")
 
 
 def _address(rng: random.Random) -> str:
-    n = str(rng.randrange(1, 240)) + rng.choice(("", "", "", "a", "b"))
-    street = rng.choice(STREETS).replace("_", " ")
+    n = str(rng.randrange(1, 300)) + rng.choice(("", "", "", "a", "b"))
+    street = f"{n} {rng.choice(STREETS).replace('_', ' ')} {rng.choice(WAYS)}"
     town = rng.choice(TOWNS).replace("_", " ")
-    k = rng.randrange(6)
-    if k == 0:
-        return _case(rng, f"{n} {street} {rng.choice(('Road', 'Lane', 'Street', 'Avenue', 'Rd', 'Ln', 'Ave', 'Blvd'))}")
-    if k == 1:
-        return _case(rng, f"{n} {street} {rng.choice(('St.', 'Ave', 'Blvd', 'Ln', 'St'))}, Apt {rng.randrange(1, 40)}")
-    if k == 2:
-        return _case(rng, f"Flat {rng.randrange(1, 40)}, {n} {street} {rng.choice(('Road', 'Lane', 'Street'))}, {town} {_digits(rng, 4)}")
-    if k == 3:
-        return _case(rng, f"{n} rue {rng.choice(FRENCH).replace('_', ' ')}")
-    if k == 4:
-        return _case(rng, f"{rng.choice(GERMAN)}{rng.choice(('allee', 'gasse', 'weg', 'straße', 'platz'))} {n}")
-    return _case(rng, rng.choice((f"P.O. Box {_digits(rng, 4)}, {town}", f"PO Box {_digits(rng, 4)}, {town}")))
-
-
-def _filler(rng: random.Random) -> str:
-    n = lambda: rng.choice(NOUNS)
-    a = lambda: rng.choice(ADJECTIVES)
-    s = rng.choice(
-        (
-            f"The {a()} {n()} {rng.choice(ADVERBS)} {rng.choice(VERBS)} my {n()}.", f"I {rng.choice(VERBS)} the {n()} because its {n()} was {a()}", f"What {rng.choice(VERBS)} me most was the {a()} {n()}.", f"Our {a()} {n()} needs a {n()}, not another {n()}.",
-            f"Once the {n()} was {a()}, someone {rng.choice(VERBS)} the {n()}!", f"Nobody {rng.choice(VERBS)} the {n()} although the {n()} looked {a()}", f"too {a()} compared to {rng.choice(BRANDS)}avelan {_digits(rng, 3)}, {n()} included", f"Tried the {rng.choice(BRANDS)}ivelan.", f"I didn't expect such a {a()} {n()}",
-        )
-    )
+    k = rng.randrange(10)
+    if k < 2:
+        s = street
+    elif k == 2:
+        s = f"{street}, {rng.choice(('Apt', 'Unit', 'Suite', 'Flat', 'Apt.'))} {rng.randrange(1, 60)}"
+    elif k == 3:
+        s = f"{rng.choice(('Flat', 'Apartment', 'Unit'))} {rng.randrange(1, 60)}, {street}, {town} {_digits(rng, rng.choice((4, 5)))}"
+    elif k == 4:
+        s = f"{street}, {town} {_upper(rng, 2)}{_digits(rng, 1)} {_digits(rng, 1)}{_upper(rng, 2)}"
+    elif k == 5:
+        s = f"{n}{rng.choice(('', ','))} {rng.choice(('rue', 'rue', 'avenue', 'boulevard', 'place'))} {rng.choice(FRENCH).replace('_', ' ')}"
+    elif k == 6:
+        s = f"{rng.choice(('Calle', 'Avenida', 'Via', 'Rua', 'Plaza'))} {rng.choice(SPANISH).replace('_', ' ')}{rng.choice((',', ''))} {n}" + rng.choice(("", f", {town}"))
+    elif k == 7:
+        s = f"{rng.choice(GERMAN)}{rng.choice(('straße', 'str.', 'weg', 'allee', 'gasse', 'platz', 'ring'))} {n}"
+    elif k == 8:
+        s = f"{rng.choice(('P.O. Box', 'PO Box', 'P.O.Box'))} {_digits(rng, rng.choice((3, 4, 5)))}" + rng.choice(("", f", {town}"))
+    else:
+        s = f"{street}, {town}"
     return _case(rng, s)
 
 
-def _trap(rng: random.Random, traps: tuple[str, ...] = TRAPS) -> str:
-    def value(m: re.Match) -> str:
-        k = m.group(1)
-        if k[0] == "d":
-            return _digits(rng, int(k[1]))
-        return {"h": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(8)), "b": lambda: rng.choice(BRANDS) + rng.choice(("avelan", "ivelan", "osevelan")), "n": lambda: rng.choice(NOUNS), "a": lambda: rng.choice(ADJECTIVES), "v": lambda: rng.choice(VERBS), "r": lambda: rng.choice(ADVERBS)}[k]()
+def _product(rng: random.Random) -> str:
+    """A made-up brand: one or two capitalised words that are no person."""
+    word = _syllables(rng) + rng.choice(("", "a", "ix", "o", "ora", "ivo", "exa", "lan", "ium", "ify")) + rng.choice(("", "", _syllables(rng).lower()))
+    return word + rng.choice(("", "", "", " " + rng.choice(("Pro", "Plus", "Max", "One", "Home", "Mini"))))
+
+
+def _value(rng: random.Random, k: str) -> str:
+    if k[0] == "d" and k[1:].isdigit():
+        return _digits(rng, int(k[1]))
+    return {
+        "Tw": lambda: rng.choice(TOWNS).replace("_", " "), "h": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(8)), "B": lambda: _product(rng), "U": lambda: _upper(rng, 1), "n": lambda: rng.choice(NOUNS), "a": lambda: rng.choice(ADJECTIVES), "v": lambda: rng.choice(VERBS), "r": lambda: rng.choice(ADVERBS),
+        "role": lambda: rng.choice(ROLES), "Role": lambda: rng.choice(ROLES).capitalize(), "title": lambda: rng.choice(TITLES), "say": lambda: rng.choice(SAYS).replace("_", " "), "dep": lambda: rng.choice(DEPARTMENTS), "St": lambda: rng.choice(STREETS).replace("_", " "), "Way2": lambda: rng.choice(("Road", "Street", "Park", "Hill")),
+        "g": lambda: rng.choice(WORDLIKE), "G": lambda: rng.choice(WORDLIKE).capitalize(), "Nn": lambda: rng.choice(NOUNS).capitalize(), "Aa": lambda: rng.choice(ADJECTIVES).capitalize(), "Vv": lambda: rng.choice(VERBS).capitalize(),
+        "D": lambda: rng.choice(("Monday", "Friday", "Sunday", "Wednesday")), "Mo": lambda: rng.choice(("June", "March", "December", "April")),
+    }[k]()
 
-    s = re.sub(r"\{(\w+)\}", value, rng.choice(traps))
-    return _case(rng, s) if rng.random() < 0.6 else s
+
+def _fill(rng: random.Random, frame: str) -> str:
+    return re.sub(r"\{(\w+)\}", lambda m: _value(rng, m.group(1)), frame)
+
+
+def _trap(rng: random.Random, traps: tuple[str, ...] = TRAPS) -> str:
+    return _case(rng, _fill(rng, rng.choice(traps)))
 
 
 def sentences(rng: random.Random, known: list[str], count: int) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, type)]): two to four sentences, about half of which hold personal data or look as if they did."""
+    """(text, [(start, end, type)]): one to three sentences, about half of which hold personal data or look as if they did."""
     for _ in range(count):
         parts: list[tuple[str, str | None, str]] = []
         for _ in range(rng.choice((1, 2, 2, 3))):
-            x = rng.random()
-            if x < 0.3:
-                parts.append((_filler(rng), None, ""))
-            elif x < 0.58:
+            if rng.random() < 0.5:
                 parts.append((_trap(rng), None, ""))
+                continue
+            kind = rng.choice(("email", "phone", "id_number", "id_number", "address", "name", "name", "name", "name", "name"))
+            if kind == "id_number":
+                value, frames = _id(rng)
             else:
-                kind = rng.choice(("email", "phone", "id_number", "id_number", "address", "name", "name", "name"))
-                if kind == "email":
-                    value, frame = _email(rng, known), rng.choice(EMAIL_FRAMES)
-                elif kind == "phone":
-                    value, frame = _phone(rng), rng.choice(PHONE_FRAMES)
-                elif kind == "id_number":
-                    value, frames = _id(rng)
-                    frame = rng.choice(frames)
-                elif kind == "address":
-                    value, frame = _address(rng), rng.choice(ADDRESS_FRAMES)
-                else:
-                    value, frame = _name(rng, known), rng.choice(NAME_FRAMES)
-                if rng.random() < 0.12:
-                    frame = frame.lower() if rng.random() < 0.6 else frame.upper().replace("{}", "{}")
-                parts.append((frame, value, kind))
+                value = {"email": lambda: _email(rng, known), "phone": lambda: _phone(rng), "address": lambda: _address(rng), "name": lambda: _name(rng, known)}[kind]()
+                frames = {"email": EMAIL_FRAMES, "phone": PHONE_FRAMES, "address": ADDRESS_FRAMES, "name": NAME_FRAMES}[kind]
+            frame = _fill(rng, rng.choice(frames))
+            if value.islower() and rng.random() < 0.6:
+                frame = frame.lower()
+            elif value.isupper() and any(c.isalpha() for c in value) and kind in ("name", "address") and rng.random() < 0.6 or rng.random() < 0.05:
+                frame = frame.upper()
+            parts.append((frame, value, kind))
         text, gold = "", []
         for frame, value, kind in parts:
             if text:
