@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Pieces that one packing task takes; the number of partitions follows the data.
-TASK_PIECES = 200_000
-#: In a partition above its bound, containers filled less than this are opened and their documents exchanged.
-OPEN_BELOW = 0.995
-#: Exchange rounds at most; each gathers the open pieces of EXCHANGE partitions.
+#: Partitions at least, and pieces that one of them holds at most on average; their number follows the data.
+MIN_PARTS = 8
+PART_PIECES = 50_000
+#: A partition above its bound opens its emptiest containers: this share of them at most, and only such as have room.
+OPEN_SHARE = 0.25
+#: Exchange rounds at most. A pool takes about as many pieces as a partition, whatever the number of partitions.
 ROUNDS = 4
-EXCHANGE = 8
 #: Kinds of containers at most; more are refused.
 MAX_KINDS = 1000
-OUT = "bin_id long, capacity long, part long, container string, doc_id long, piece long, tokens long, open boolean, bound long"
+#: Dual-feasible functions of the bound over all pieces: u_k for k up to STEPS, f_a for a = capacity x j / GRID, j up to GRID / 2.
+STEPS, GRID = 20, 64
+OUT = "bin_id long, capacity long, part string, container string, doc_id long, piece long, tokens long, open boolean, bound long, used long"
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -79,16 +81,24 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _packer(turn: int, last: bool):
     def pack(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        capacity, part = int(b["capacity"].iloc[0]), int(b["part"].iloc[0])
+        capacity, part = int(b["capacity"].iloc[0]), f"{turn}-{b['pool'].iloc[0]}"
         sizes = b["tokens"].to_numpy(dtype=np.int64)
         where = best_fit_decreasing(sizes, capacity)
-        bound = lower_bound(sizes, capacity)
-        used = int(where.max()) + 1
-        b["bound"] = bound
-        b["container"] = [f"{turn}-{part}-{w}" for w in where]
-        fill = np.bincount(where, weights=sizes, minlength=used)
-        b["open"] = (used > bound) & (fill[where] < OPEN_BELOW * capacity) if not last else False
-        return b[["bin_id", "capacity", "part", "container", "doc_id", "piece", "tokens", "open", "bound"]]
+        if turn:  # documents that fit no better together stay where they were
+            before, old = pd.factorize(b["container"])
+            if len(old) <= int(where.max()) + 1:
+                where, names = before, old.to_numpy()
+            else:
+                names = np.array([f"{part}-{w}" for w in range(int(where.max()) + 1)], dtype=object)
+        else:
+            names = np.array([f"{part}-{w}" for w in range(int(where.max()) + 1)], dtype=object)
+        bound, used = lower_bound(sizes, capacity), len(names)
+        b["part"], b["bound"], b["used"], b["container"], b["open"] = part, bound, used, names[where], False
+        if used > bound and not last:
+            fill = np.bincount(where, weights=sizes, minlength=used)
+            emptiest = np.argsort(fill, kind="stable")[: max(2, int(used * OPEN_SHARE))]
+            b["open"] = np.isin(where, emptiest[fill[emptiest] < capacity])
+        return b[[c.split()[0] for c in OUT.split(", ")]]
 
     return pack
 
@@ -112,28 +122,33 @@ def pieces(docs: DataFrame, bins: DataFrame, id_col: str = "doc_id", size: str =
     return cut.withColumn("tokens", F.least(F.col("capacity"), F.col("n") - F.col("piece") * F.col("capacity"))).drop("n")
 
 
-def pack(docs: DataFrame, bins: DataFrame, id_col: str = "doc_id", size: str = "n_tokens", task_pieces: int = TASK_PIECES) -> DataFrame:
-    """(bin_id, capacity, container, doc_id, piece, tokens): every piece in exactly one container.
+def pack(docs: DataFrame, bins: DataFrame, id_col: str = "doc_id", size: str = "n_tokens", part_pieces: int = PART_PIECES) -> DataFrame:
+    """(bin_id, capacity, container, doc_id, piece, tokens, part, bound, used, certified): every piece in exactly one container.
 
-    Documents are spread over partitions by their hash, so equal sizes and hot sources do not matter. A partition that reaches its
-    bound is certified and closed. In the others the containers with room are opened, their documents pooled over EXCHANGE
-    partitions and packed again; pooling can only close gaps, since the pooled documents are packed together.
+    Documents are spread over partitions by their hash, so equal sizes and hot sources do not matter. A partition that needs no more
+    containers than its bound is certified and closed. The others open their emptiest containers; the documents in these are exchanged
+    over pools of ``part_pieces`` pieces, packed again by best-fit decreasing, and the pools are judged in the same way. A pool that
+    would not save a container leaves its documents where they were, so no round makes the packing worse. ``part`` names the partition
+    or pool that closed a container, ``bound`` and ``used`` are its bound and the containers it had, ``certified`` says they are equal.
     """
     todo = pieces(docs, bins, id_col, size)
-    rows = docs.count()
-    parts = max(1, -(-rows // task_pieces))
-    todo = todo.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
+    kinds = max(1, bins.count())
+    parts = max(MIN_PARTS, -(-docs.count() // part_pieces))
+    todo = todo.withColumn("container", F.lit(None).cast("string"))
     done: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS or parts == 1
-        packed = materialize(todo.groupBy("bin_id", "part").applyInPandas(_packer(turn, last), OUT), f"pack{turn}")
+        pooled = todo.withColumn("pool", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(parts)).cast("long"))
+        if turn:  # the pieces of a container stay together
+            pooled = todo.withColumn("pool", F.pmod(F.xxhash64("container", F.lit(turn)), F.lit(parts)).cast("long"))
+        packed = materialize(pooled.groupBy("bin_id", "pool").applyInPandas(_packer(turn, turn == ROUNDS), OUT), f"pack{turn}")
         closed = packed.filter("not open")
         done = closed if done is None else done.unionByName(closed)
-        if last:
+        todo = packed.filter("open").select("bin_id", "capacity", "doc_id", "piece", "tokens", "container")
+        left = todo.count() if turn < ROUNDS else 0
+        if not left:
             break
-        parts = max(1, -(-parts // EXCHANGE))
-        todo = packed.filter("open").select("bin_id", "capacity", F.pmod("part", F.lit(parts)).cast("long").alias("part"), "doc_id", "piece", "tokens")
-    return done.select("bin_id", "capacity", "container", "doc_id", "piece", "tokens")
+        parts = max(1, -(-left // (part_pieces * kinds)))
+    return done.select("bin_id", "capacity", "container", "doc_id", "piece", "tokens", "part", "bound", "used", (F.col("bound") == F.col("used")).alias("certified"))
 
 
 def divided(packing: DataFrame) -> DataFrame:
@@ -141,9 +156,45 @@ def divided(packing: DataFrame) -> DataFrame:
     return packing.filter("piece = 1").select("bin_id", "doc_id")
 
 
-def report(packing: DataFrame) -> DataFrame:
-    """Per kind of container: containers used, the volume bound, the share of the room that is filled."""
-    return packing.groupBy("bin_id", "capacity").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).select(
-        "bin_id", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity").cast("double")).cast("long").alias("volume_bound"),
-        F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("containers") * F.col("capacity")), F.lit(0.0)).alias("filled"),
+def bounds(docs: DataFrame, bins: DataFrame, id_col: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """(bin_id, capacity, pieces, tokens, bound): the dual-feasible lower bound of containers over all pieces of a kind.
+
+    The value of a dual-feasible function is summed over the pieces, so each function is one sum of an aggregation.
+    """
+    x, c = F.col("tokens"), F.col("capacity")
+    values = [(x, F.lit(1))]
+    for k in range(1, STEPS + 1):
+        whole = F.expr(f"(tokens * {k + 1}) div capacity")
+        values.append((F.when((x * (k + 1)) % c == 0, x * k).otherwise(whole * c), F.lit(k)))
+    for j in range(1, GRID // 2 + 1):
+        values.append((F.when(x * GRID > c * (GRID - j), c).when(x * GRID < c * j, 0).otherwise(x), F.lit(1)))
+    sums = [F.sum(v).alias(f"s{i}") for i, (v, _) in enumerate(values)]
+    per = pieces(docs, bins, id_col, size).filter("tokens > 0").groupBy("bin_id", "capacity").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), *sums)
+    up = [F.expr(f"(s{i} + capacity * {k} - 1) div (capacity * {k})") for i, k in enumerate([1, *range(1, STEPS + 1), *[1] * (GRID // 2)])]
+    return per.select("bin_id", "capacity", "pieces", "tokens", F.greatest(*up).cast("long").alias("bound"))
+
+
+def report(packing: DataFrame, bound: DataFrame) -> DataFrame:
+    """Per kind of container: containers used, the dual-feasible bound over all pieces, containers above it, the share of the room filled."""
+    used = packing.filter("tokens > 0").groupBy("bin_id").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("packed"))
+    both = bound.join(used, "bin_id")
+    return both.select(
+        "bin_id", "capacity", "containers", "bound", (F.col("containers") - F.col("bound")).alias("above"),
+        F.coalesce(F.try_divide(F.col("packed").cast("double"), F.col("containers") * F.col("capacity")), F.lit(0.0)).alias("filled"),
     )
+
+
+def certificates(packing: DataFrame) -> DataFrame:
+    """(bin_id, part, bound, used, certified): one row per partition or pool that closed containers."""
+    return packing.select("bin_id", "part", "bound", "used", "certified").distinct()
+
+
+def audit(docs: DataFrame, packing: DataFrame, id_col: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Per kind of container what must hold of any packing: pieces, tokens, divided documents, overfull containers, documents packed twice or torn."""
+    fill = packing.groupBy("bin_id", "container").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c"))
+    over = fill.groupBy("bin_id").agg(F.count_if(F.col("t") > F.col("c")).alias("overfull"))
+    n = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    per = packing.groupBy("bin_id", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("piece").alias("d"), F.sum("tokens").alias("t"), F.max("capacity").alias("c")).join(n, "doc_id")
+    wrong = (F.col("k") != F.col("d")) | (F.col("t") != F.col("n")) | (F.col("k") > 1) & (F.col("n") <= F.col("c"))
+    sums = per.groupBy("bin_id").agg(F.sum("k").alias("pieces"), F.sum("t").alias("tokens"), F.count_if(F.col("k") > 1).alias("divided"), F.count_if(wrong).alias("torn"))
+    return sums.join(over, "bin_id").select("bin_id", "pieces", "tokens", "divided", "torn", "overfull")

@@ -88,7 +88,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
-    return binpack.report(p7_packed(spark, sf))
+    docs, bins = read_table(spark, sf, "documents"), read_table(spark, sf, "bin_sizes")
+    return binpack.report(p7_packed(spark, sf), binpack.bounds(docs, bins))
+
+
+def p7_certificates(spark: SparkSession, sf: str) -> DataFrame:
+    return binpack.certificates(p7_packed(spark, sf))
+
+
+def p7_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return binpack.bounds(read_table(spark, sf, "documents"), read_table(spark, sf, "bin_sizes"))
+
+
+def p7_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return binpack.audit(read_table(spark, sf, "documents"), p7_packed(spark, sf))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,6 +116,10 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
 
+def p8_promises(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_shares(spark, sf).select("mix_id", "source", "available", "reachable", F.round("target_share", 9).alias("target_share"), "capped", "close")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.restore(read_table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
@@ -122,13 +139,22 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT survey, id, unnest(regexp_extract_all(lower(response), '[a-z][a-z]+')) AS term FROM r),
             c AS (SELECT survey, term, count(*) AS occurrences, count(DISTINCT id) AS records FROM t GROUP BY survey, term),
             m AS (SELECT c.*, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS mark FROM c JOIN n USING (survey))"""
+    cut = """
+            SELECT bin_id, capacity_tokens AS capacity, unnest(range(0, greatest(1, ceil(n_tokens / capacity_tokens))::BIGINT)) AS piece, least(capacity_tokens, n_tokens - piece * capacity_tokens) AS tokens
+            FROM documents, bin_sizes"""
+    functions = ["ceil(sum(tokens) / capacity)"]
+    functions += [f"ceil(sum(CASE WHEN tokens * {k + 1} % capacity = 0 THEN tokens * {k} ELSE tokens * {k + 1} // capacity * capacity END) / (capacity * {k}))" for k in range(1, binpack.STEPS + 1)]
+    functions += [f"ceil(sum(CASE WHEN tokens * {binpack.GRID} > capacity * {binpack.GRID - j} THEN capacity WHEN tokens * {binpack.GRID} < capacity * {j} THEN 0 ELSE tokens END) / capacity)" for j in range(1, binpack.GRID // 2 + 1)]
+    mixes = """
+            WITH s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM documents WHERE source IS NOT NULL GROUP BY source),
+            t AS (SELECT m.mix_id, m.source, m.weight, m.max_repeats, coalesce(s.tokens, 0)::BIGINT AS tokens FROM mix_targets m LEFT JOIN s ON s.source = m.source),
+            w AS (SELECT *, sum(weight) OVER (PARTITION BY mix_id) AS ws, sum(tokens) OVER (PARTITION BY mix_id) AS ts FROM t)"""
     return {
         "p2_found": counts + " SELECT survey, term, mark FROM m WHERE mark IS NOT NULL",
         "p2_counts": counts + " SELECT survey, term, occurrences, records, mark FROM m",
         "p7_found": "SELECT bin_id, doc_id FROM documents JOIN bin_sizes ON n_tokens > capacity_tokens",
-        "p8_found": """
-            WITH s AS (SELECT source, sum(n_tokens) AS tokens FROM documents WHERE source IS NOT NULL GROUP BY source),
-            t AS (SELECT m.mix_id, m.source, m.weight, m.max_repeats, coalesce(s.tokens, 0) AS tokens FROM mix_targets m LEFT JOIN s ON s.source = m.source),
-            w AS (SELECT *, sum(weight) OVER (PARTITION BY mix_id) AS ws, sum(tokens) OVER (PARTITION BY mix_id) AS ts FROM t)
-            SELECT mix_id, source FROM w WHERE tokens * max_repeats * ws < weight * ts""",
+        "p7_bounds": f"WITH x AS ({cut}) SELECT bin_id, capacity, count(*) AS pieces, sum(tokens)::BIGINT AS tokens, greatest({', '.join(functions)})::BIGINT AS bound FROM x WHERE tokens > 0 GROUP BY bin_id, capacity",
+        "p7_audit": f"WITH x AS ({cut}) SELECT bin_id, count(*) AS pieces, sum(tokens)::BIGINT AS tokens, count(*) FILTER (piece = 1) AS divided, 0::BIGINT AS torn, 0::BIGINT AS overfull FROM x GROUP BY bin_id",
+        "p8_promises": f"{mixes} SELECT mix_id, source, tokens AS available, tokens * max_repeats * ws >= weight * ts AS reachable, round(weight / ws, 9) AS target_share, true AS capped, true AS close FROM w",
+        "p8_found": f"{mixes} SELECT mix_id, source FROM w WHERE tokens * max_repeats * ws < weight * ts",
     }

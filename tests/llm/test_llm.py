@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from openweave.llm import binpack, clusters, dedup, lookalike, mixing, mojibake, pii, quality, terms
 from pyspark.sql import functions as F
@@ -320,11 +321,10 @@ def brute_clusters(texts, least=16):
     return sorted((i, min(g)) for g in groups.values() if len(g) > 1 for i in g)
 
 
-@pytest.mark.parametrize("block, chunk, unite", [(4_000, 10_000, 2_000_000), (2, 2, 1)])
-def test_clusters_equal_brute_force(spark, rows, monkeypatch, block, chunk, unite):
-    monkeypatch.setattr(clusters, "BLOCK_SETS", block)
-    monkeypatch.setattr(clusters, "CHUNK_SETS", chunk)
-    monkeypatch.setattr(clusters, "UNITE_LINKS", unite)
+@pytest.mark.parametrize("block, chunk, unite, hot, part", [(4_000, 10_000, 2_000_000, 262_144, 60_000), (2, 2, 1, 1, 7), (2, 3, 2_000_000, 3, 20)])
+def test_clusters_equal_brute_force(spark, rows, monkeypatch, block, chunk, unite, hot, part):
+    for name, value in (("BLOCK_SETS", block), ("CHUNK_SETS", chunk), ("UNITE_LINKS", unite), ("HOT", hot), ("PART_SETS", part)):
+        monkeypatch.setattr(clusters, name, value)
     rng, texts = random.Random(4), []
     for _ in range(60):
         base = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(16, 40))]
@@ -357,12 +357,73 @@ def test_links_between_very_long_texts():
     assert [(i.tolist(), j.tolist(), w.tolist()) for i, j, w in found if len(i)] == [([0], [1], [0.95])]
 
 
-def test_spectral_confirms_components_of_a_chain():
-    n = 300
+def test_a_set_sends_the_same_at_any_number_of_parts():
+    rng = np.random.default_rng(1)
+    sets = pd.DataFrame({"node": np.arange(2000), "salt": 7, "codes": ["".join(chr(32 + int(c)) for c in sorted(rng.choice(3000, 30, replace=False), reverse=True)) for _ in range(2000)], "rare": [b""] * 2000})
+    sent = {parts: sum(len(e) for out in clusters._signer(parts, 2)([sets]) for e in out["entries"]) for parts in (1, 4, 3300)}
+    assert len(set(sent.values())) == 1 and sent[1] < 2000 * 20 * clusters.ENTRY.itemsize
+
+
+@pytest.mark.parametrize("array, sift", [(24, 1024), (2, 4)])
+def test_signatures_lose_no_link(monkeypatch, array, sift):
+    monkeypatch.setattr(clusters, "ARRAY", array)
+    monkeypatch.setattr(clusters, "SIFT", sift)
+    rng, sets = np.random.default_rng(2), []
+    for _ in range(60):
+        base = rng.choice(400, rng.integers(16, 60), replace=False).tolist()
+        for _ in range(4):
+            x = set(base)
+            for _ in range(rng.integers(0, 8)):
+                x.discard(int(rng.choice(base)))
+                x.add(int(rng.integers(400)))
+            sets.append(x)
+    frame = pd.DataFrame({"node": range(len(sets)), "salt": 3, "codes": ["".join(chr(32 + c) for c in sorted(x, reverse=True)) for x in sets], "rare": [b""] * len(sets)})
+    found = pd.concat(list(clusters._meet(True)(pd.DataFrame({"entries": b["entries"]}) for b in clusters._signer(1, 2)([frame]))))
+    label = clusters._spread(np.arange(len(sets)), found["a"].to_numpy(np.int64), found["b"].to_numpy(np.int64))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                assert label[i] == label[j]
+
+
+def test_short_sets_are_linked_too(spark, rows):
+    texts = ["a b", "b a", "a c", "q", "q q", "one two three four five", "one two three four", "x y z u v w", "x y z u v"]
+    got = clusters.similarity_clusters(answers(spark, texts), "id", "response", "survey", min_words=1)
+    assert rows(got.select("id", "cluster_id")) == [(1, 1), (2, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 8)]
+
+
+def test_very_long_texts_are_one_cluster(spark):
+    words = [f"w{i}" for i in range(17_000)]
+    texts = [" ".join(words), " ".join([*words[10:], *(f"x{i}" for i in range(10))]), " ".join(f"y{i}" for i in range(17_000)), *(" ".join(words[k * 50 : k * 50 + 30]) for k in range(12))]
+    got = clusters.similarity_clusters(answers(spark, texts), "id", "response", "survey")
+    assert sorted((r.id, r.cluster_id) for r in got.collect()) == [(1, 1), (2, 1)]
+
+
+def test_the_embedding_separates_long_chains():
+    n = 3000
     i, j = np.arange(n - 1), np.arange(1, n)
-    keep = i != 149
-    label = clusters.spectral(n, i[keep], j[keep], np.full(keep.sum(), 0.8), np.arange(n))
-    assert len(np.unique(label)) == 2 and len(np.unique(label[:150])) == 1
+    keep = i != 1499
+    x = clusters.embed(n, i[keep], j[keep], np.full(keep.sum(), 0.8), np.arange(n))
+    label = clusters.k_means(x, np.zeros(n, dtype=np.int64))
+    assert len(np.unique(label)) == 2 and len(np.unique(label[:1500])) == 1 and len(np.unique(label[1500:])) == 1
+
+
+def test_the_exact_check_rarely_steps_in():
+    rng = np.random.default_rng(9)
+    ids, block, links, at = np.arange(40_000), np.zeros(40_000, dtype=np.int64), [], 0
+    blocks = 0
+    while at < 39_000:
+        n = int(rng.integers(2, 250))
+        block[at : at + n] = blocks
+        a = rng.integers(0, n, n)
+        links.append(np.stack([np.minimum(a, rng.permutation(n)), np.maximum(a, rng.permutation(n))]) + at)
+        at, blocks = at + n, blocks + 1
+    block[at:] = np.arange(blocks, blocks + len(ids) - at)
+    i, j = np.concatenate(links, axis=1)
+    apart = i != j
+    label, mended = clusters.spectral(ids, block, i[apart], j[apart], np.ones(apart.sum()))
+    assert len(np.unique(block[mended])) <= 0.01 * blocks
+    assert (label == clusters._spread(ids, i[apart], j[apart])).all()
 
 
 # --- p6 -------------------------------------------------------------------------------------------------------------------
@@ -400,7 +461,7 @@ def test_packing_is_whole_and_within_bounds(spark):
     sizes = [rng.choice((0, 1, 30, 33, 34, 50, 51, 70, 99, 100, 101, 250)) for _ in range(400)] + [None, -3]
     docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
     bins = spark.createDataFrame([(1, 100), (2, 64), (3, 0), (1, 100)], "bin_id long, capacity_tokens long")
-    packed = binpack.pack(docs, bins, task_pieces=60).toPandas()
+    packed = binpack.pack(docs, bins, part_pieces=60).toPandas()
     for b, cap in ((1, 100), (2, 64)):
         p = packed[packed.bin_id == b]
         assert p.groupby("container").tokens.sum().max() <= cap
@@ -408,7 +469,12 @@ def test_packing_is_whole_and_within_bounds(spark):
         cut = {i for i, n in p.groupby("doc_id").size().items() if n > 1}
         assert cut == {i for i, s in enumerate(sizes) if (s or 0) > cap}
         assert p.container.nunique() <= 1.1 * binpack.lower_bound(p.tokens.to_numpy(), cap) + 1
-    assert set(packed.bin_id) == {1, 2}
+        assert binpack.lower_bound(p.tokens.to_numpy(), cap) >= p[p.certified].groupby("part").bound.max().max()
+    assert set(packed.bin_id) == {1, 2} and packed.part.str.startswith("1-").any()  # pieces were exchanged
+    audit = binpack.audit(docs, binpack.pack(docs, bins, part_pieces=60)).collect()
+    assert [(r.torn, r.overfull, r.pieces) for r in sorted(audit)] == [(0, 0, (packed.bin_id == b).sum()) for b in (1, 2)]
+    bound = {r.bin_id: r.bound for r in binpack.bounds(docs, bins).collect()}
+    assert all(0 <= r.above == r.containers - bound[r.bin_id] for r in binpack.report(binpack.pack(docs, bins), binpack.bounds(docs, bins)).collect())
     assert binpack.pack(docs.limit(0), bins).count() == 0 and binpack.pack(docs, bins.limit(0)).count() == 0
 
 
@@ -440,6 +506,7 @@ def test_mixing(spark):
     targets = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 1, 3), (2, "tiny", 1, 3), (2, "a", 1, 1), (3, "none", 5, 2), (3, "b", 1, 1)], "mix_id long, source string, weight int, max_repeats int")
     got = {(r.mix_id, r.source): r for r in mixing.shares(docs, targets).collect()}
     assert abs(got[1, "a"].actual_share - 0.5) < 0.01 and abs(got[1, "b"].actual_share - 0.5) < 0.01
+    assert all(r.capped and r.close for r in got.values())
     assert got[2, "tiny"].used == 15 and not got[2, "tiny"].reachable and got[3, "none"].used == 0
     limit = {(r[0], r[1]): r[3] for r in targets.collect()}
     assert all(0 < r.repeats <= limit[r.mix_id, r.source] for r in mixing.mix(docs, targets).collect())
