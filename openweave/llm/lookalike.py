@@ -29,8 +29,9 @@ ALSO = {"ι": "l", "і": "l", "І": "l", "Ι": "l", "ı": "l", "η": "h", "υ":
 ALSO_COST = 0.25
 #: The automaton gives up above this cost; only look-alikes and ignorable characters are free, no letter is ever changed into another.
 MAX_COST = 0.5
-#: Occurrences from which a word belongs to the vocabulary.
-MIN_COUNT = 3
+#: Vocabulary words of one trie at most: routes take further letters until none holds more.
+TRIE_WORDS = 50_000
+MAX_DEPTH = 24
 
 TABLE = {a: b for x, y in ALIKE for a, b in zip(x, y, strict=True)}
 #: Characters that show nothing: zero-width and format characters, fillers, variation selectors, tags.
@@ -154,23 +155,36 @@ def _like(form: str, word: str) -> str:
     return word.upper() if form.isupper() else word.capitalize() if form[:1].isupper() else word
 
 
-def _routes(parts: list[tuple[str, ...]]) -> set[str]:
-    heads = {""}
-    for readings in parts[:2]:
-        heads = {h + r for h in heads for r in readings}
-    return {h[:2] for h in heads}
+def _routes(parts: list[tuple[str, ...]], depth: int) -> set[str]:
+    """First letters, as far as ``depth``, of the readings the automaton can afford; words are routed by theirs."""
+    heads = {("", 0.0)}
+    for readings in parts[:depth]:
+        heads = {(h + r, c + ALSO_COST * (k > 0)) if len(h) < depth else (h, c) for h, c in heads for k, r in enumerate(readings) if c + ALSO_COST * (k > 0) <= MAX_COST}
+    return {h[:depth] for h, _ in heads}
 
 
-def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for tbl, rec, text in b.itertuples(index=False):
-            if SPACES.search(text):
-                rows.append((tbl, rec, " ", True, " ", []))
-            for token in set(SPLIT.split(text)[::2]):
-                if token and not token.isascii() and (x := examine(token)) is not None:
-                    rows.append((tbl, rec, token, x[0], x[2], sorted(_routes(x[1]))))
-        yield pd.DataFrame(rows, columns=["tbl", "rec_id", "token", "certain", "form", "routes"])
+def _finder(depth: int):
+    def tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for tbl, rec, text in b.itertuples(index=False):
+                if SPACES.search(text):
+                    rows.append((tbl, rec, " ", True, " ", []))
+                for token in set(SPLIT.split(text)[::2]):
+                    if token and not token.isascii() and (x := examine(token)) is not None:
+                        rows.append((tbl, rec, token, x[0], x[2], sorted(_routes(x[1], depth))))
+            yield pd.DataFrame(rows, columns=["tbl", "rec_id", "token", "certain", "form", "routes"])
+
+    return tokens
+
+
+def _depth(vocabulary: DataFrame) -> int:
+    """Letters of a route: as few as keep every trie within TRIE_WORDS words; at least two."""
+    for depth in range(2, MAX_DEPTH):
+        most = vocabulary.groupBy(F.substring("word", 1, depth)).count().agg(F.max("count")).first()[0]
+        if (most or 0) <= TRIE_WORDS:
+            return depth
+    return MAX_DEPTH
 
 
 def _search(tokens: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
@@ -190,14 +204,16 @@ def _search(tokens: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
 def spellings(df: DataFrame, tbl: str, rec: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(uses, table): which record uses which doubtful token, and per distinct token its canonical form and whether it is a case.
 
-    The vocabulary is every word of Latin letters that occurs at least MIN_COUNT times in the texts themselves. Tokens and words meet
-    by their first two letters as they look, so no trie has to hold the whole vocabulary; only distinct tokens are moved.
+    The vocabulary is every word of Latin letters in the texts themselves, however rare. Tokens and words meet by their first letters as
+    they look, by so many that no trie holds more than TRIE_WORDS words; only distinct tokens are moved.
     """
     texts = df.filter(F.col(text).isNotNull()).select(F.col(tbl).alias("tbl"), F.col(rec).cast("string").alias("rec_id"), F.col(text).alias("text"))
-    doubtful = texts.filter(F.col("text").rlike("[^\\x00-\\x7F]"))
-    uses = materialize(doubtful.mapInPandas(_tokens, "tbl string, rec_id string, token string, certain boolean, form string, routes array<string>"), "tokens")
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{M}\p{Cf}])([a-zß-öø-ÿ]+)(?![\p{L}\p{M}\p{Cf}])"), F.lit(1))).alias("word"))
-    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_COUNT).withColumn("route", F.substring("word", 1, 2))
+    vocabulary = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    depth = _depth(vocabulary)
+    vocabulary = vocabulary.withColumn("route", F.substring("word", 1, depth))
+    doubtful = texts.filter(F.col("text").rlike("[^\\x00-\\x7F]"))
+    uses = materialize(doubtful.mapInPandas(_finder(depth), "tbl string, rec_id string, token string, certain boolean, form string, routes array<string>"), "tokens")
     distinct = materialize(uses.groupBy("token").agg(F.first("certain").alias("certain"), F.first("form").alias("form"), F.first("routes").alias("routes"), F.count(F.lit(1)).alias("uses")), "distinct")
     routed = distinct.select("token", "form", F.explode("routes").alias("route"))
     found = routed.groupBy("route").cogroup(vocabulary.groupBy("route")).applyInPandas(_search, "token string, word string, cost double")

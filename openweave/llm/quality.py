@@ -29,6 +29,8 @@ PROSE_COMMON = 0.3
 LIST_COMMON = 0.2
 LETTERS = 0.55
 VARIETY = 0.34
+#: Share of the characters in lines or paragraphs said before, from which a text is boilerplate.
+REPEATED = 0.3
 COVERAGE = 0.5
 
 STATS = (
@@ -82,7 +84,7 @@ def _is_table(lines: list[str]) -> bool:
 
 
 def assess(text: str, common: frozenset[str]) -> tuple:
-    """The statistics of one text and its verdict: prose, list, table, junk, or short (under MIN_CHARS without outer blanks)."""
+    """The statistics of one text and its verdict: prose, list, table, junk, boilerplate (prose lines or paragraphs repeated), or short (under MIN_CHARS without outer blanks)."""
     plain = text if text.isascii() else fold(text)
     body = plain.strip()
     words = WORD.findall(plain.lower())
@@ -112,6 +114,8 @@ def _verdict(body, words, n, unique, share, digits, letters, visible, lines, bul
     alphabetic = (letters - digits) / visible if visible else 0.0
     if n == 0 or alphabetic < 0.3:
         return "table" if _is_table(lines) else "junk"
+    if max(twice) > REPEATED and share >= LIST_COMMON and len(lines) >= 3:
+        return "boilerplate"  # sentences, but the same ones again
     if n >= 5 and unique / n <= VARIETY and (top > COVERAGE or unique <= 3):
         return "junk"
     tags = TAG.findall(body) if "<" in body else []
@@ -135,7 +139,7 @@ def _verdict(body, words, n, unique, share, digits, letters, visible, lines, bul
         return "list"
     if alphabetic < LETTERS:
         return "junk"
-    if twice[0] > COVERAGE:
+    if max(twice) > COVERAGE:
         return "junk"
     if share == 0:
         mixed = sum(any(c.isdigit() for c in w) and not w.isdigit() for w in words)
@@ -170,4 +174,4 @@ def statistics(df: DataFrame, keys: list[str], text_col: str, common_words: Data
 
 
 def not_prose(stats: DataFrame) -> DataFrame:
-    return stats.filter(F.col("kind").isin("list", "table", "junk"))
+    return stats.filter(F.col("kind").isin("list", "table", "junk", "boilerplate"))

@@ -297,6 +297,14 @@ def test_lookalikes(spark):
     assert lookalike.disguised(d.limit(0), "tbl", "rec_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("trie", [50_000, 1])
+def test_a_rare_word_in_other_letters_is_found(spark, monkeypatch, trie):
+    monkeypatch.setattr(lookalike, "TRIE_WORDS", trie)
+    d = answers(spark, ["the cope is here", "the сореѕ", "the соре", "the copes copy coat", "слово и дело", "coaх"]).withColumn("tbl", F.lit("t"))
+    got = {r.id: r.normalized for r in lookalike.normalized(d, "tbl", "id", "response").selectExpr("cast(rec_id as long) id", "normalized").collect()}
+    assert got[2] == "the copes" and got[3] == "the cope" and got[5] == "слово и дело" and got[6] == "coax"
+
+
 # --- p5 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -321,7 +329,7 @@ def brute_clusters(texts, least=16):
     return sorted((i, min(g)) for g in groups.values() if len(g) > 1 for i in g)
 
 
-@pytest.mark.parametrize("block, chunk, unite, hot, part", [(4_000, 10_000, 2_000_000, 262_144, 60_000), (2, 2, 1, 1, 7), (2, 3, 2_000_000, 3, 20)])
+@pytest.mark.parametrize("block, chunk, unite, hot, part", [(4_000, 10_000, 2_000_000, 262_144, 60_000), (2, 3, 1, 1, 100)])
 def test_clusters_equal_brute_force(spark, rows, monkeypatch, block, chunk, unite, hot, part):
     for name, value in (("BLOCK_SETS", block), ("CHUNK_SETS", chunk), ("UNITE_LINKS", unite), ("HOT", hot), ("PART_SETS", part)):
         monkeypatch.setattr(clusters, name, value)
@@ -433,6 +441,7 @@ KINDS = [
     ("Quality: friendly refund; Support: fresh syrup; Taste: shaky blanket", "list"), ("- plate\n- thick towel\n- rug\n- kettle", "list"), ("receipt / careless mug / orderly mattress / basket / quick tray", "list"),
     ("item,qty,cost\nKan,6,23.78\nTor,4,62.60", "table"), ("a\t2\t74.37\tx\nb\t9\t53.07\ty", "table"), ("ok ok ok ok ok ok ok ok ok ok ok", "junk"), ("2305543 30048467 86301 353288 6228", "junk"),
     ("<div class='c'><td>182</td><td>456</td></div><br/>", "junk"), ("!!🔥🔥😀🔥🎉!!!!!!!!👍👍🔥🎉👍🔥", "junk"), ("qwsvbr piuletuh srkyjdpzaduypx jkmywleuxinzwt qdexlxe", "junk"), ("good", "short"), ("", "short"),
+    ("Thank you for the help.\n" + "This is sent to all of our clients.\nIt is not to be read by others.\n" * 4, "boilerplate"), ("We liked it a lot and it was good.\n\n" * 3, "boilerplate"),
 ]
 COMMON = "the was and we it a but too to i dont its my want".split()
 
