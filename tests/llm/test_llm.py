@@ -441,7 +441,7 @@ KINDS = [
     ("Quality: friendly refund; Support: fresh syrup; Taste: shaky blanket", "list"), ("- plate\n- thick towel\n- rug\n- kettle", "list"), ("receipt / careless mug / orderly mattress / basket / quick tray", "list"),
     ("item,qty,cost\nKan,6,23.78\nTor,4,62.60", "table"), ("a\t2\t74.37\tx\nb\t9\t53.07\ty", "table"), ("ok ok ok ok ok ok ok ok ok ok ok", "junk"), ("2305543 30048467 86301 353288 6228", "junk"),
     ("<div class='c'><td>182</td><td>456</td></div><br/>", "junk"), ("!!🔥🔥😀🔥🎉!!!!!!!!👍👍🔥🎉👍🔥", "junk"), ("qwsvbr piuletuh srkyjdpzaduypx jkmywleuxinzwt qdexlxe", "junk"), ("good", "short"), ("", "short"),
-    ("Thank you for the help.\n" + "This is sent to all of our clients.\nIt is not to be read by others.\n" * 4, "boilerplate"), ("We liked it a lot and it was good.\n\n" * 3, "boilerplate"),
+    ("It was a gift to my sister.\n" + "We want it to be the best and i want it too.\nIt was the aim but we dont want it.\n" * 4, "boilerplate"), ("We liked it a lot and it was the best to my taste.\n\n" * 3, "boilerplate"),
 ]
 COMMON = "the was and we it a but too to i dont its my want".split()
 
