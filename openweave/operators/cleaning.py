@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wordlists as L
 from ..functions.text import STEPS, matches, normalizer
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,7 @@ def process(df: DataFrame, text_col: str, id_col: str, config: CleaningConfig =
     d = d.withColumn("reject_reason", reason)
     if config.detect_duplicates:
         # the first survivor of a text is found by aggregation: a text that fills a third of the table is one row a task
+        d = materialize(d, "normalized")  # the normalizer runs once
         key = F.md5(x)
         first = d.filter(F.col("reject_reason").isNull()).groupBy(key.alias("_md5")).agg(F.min(id_col).alias("_first"))
         d = d.withColumn("_md5", F.when(F.col("reject_reason").isNull(), key)).join(first, "_md5", "left")

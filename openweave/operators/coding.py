@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..skew import small
 
 EMPTY = "array<string>"
-#: Keywords up to which a frame is compiled into one expression; beyond, it is joined.
+#: Keywords up to which a frame is compiled into one expression; beyond, one automaton a worker finds them. The result is the same.
 COMPILED_KEYWORDS = 400
 
 
@@ -68,19 +71,45 @@ class CodeFrame:
 
 
 def apply_codes(df: DataFrame, frame: CodeFrame, text_col: str, out: str = "codes", case_sensitive: bool = False, id_col: str | None = None) -> DataFrame:
-    """df with the codes of its text. Large frames are joined by keyword instead of compiled; for that an id is needed."""
+    """df with the codes of its text, in frame order; a code applies if one of its keywords occurs in the text as a substring.
+
+    Row by row, whatever the size of the frame: no id is needed, repeated rows and ids are coded each for itself.
+    """
     if sum(len(c.keywords) for c in frame.codes) <= COMPILED_KEYWORDS:
         if case_sensitive:
             return df.withColumn(out, frame.expression(F.col(text_col), True))
         return df.withColumn("_low", F.lower(text_col)).withColumn(out, frame.expression(F.col("_low"), lowered=True)).drop("_low")
-    if id_col is None:
-        raise ValueError("a frame of this size needs id_col")
-    lower = (lambda c: c) if case_sensitive else F.lower
-    # the frame is bounded by CodeFrame.from_table, so it may be held by every task
-    keys = frame.table(df.sparkSession).select("ord", "code_id", F.explode("keywords").alias("k"))
-    hits = df.select(F.col(id_col).alias("_id"), lower(F.col(text_col)).alias("_t")).join(small(keys), F.contains(F.col("_t"), lower(F.col("k"))))
-    lists = hits.select("_id", "ord", "code_id").distinct().groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "code_id"))), lambda x: x["code_id"]).alias(out))
-    return df.join(lists, df[id_col] == lists["_id"], "left").drop("_id").withColumn(out, F.coalesce(out, F.array().cast(EMPTY)))
+    return df.withColumn(out, _automaton(frame, case_sensitive)(F.col(text_col)))
+
+
+def _automaton(frame: CodeFrame, case_sensitive: bool):
+    """A function from text to codes that finds all keywords in one pass; an empty keyword occurs in every text."""
+    ids = [c.code_id for c in frame.codes]
+    of: dict[str, list[int]] = {}
+    for i, c in enumerate(frame.codes):
+        for k in c.keywords:
+            of.setdefault(k if case_sensitive else k.lower(), []).append(i)
+    always = of.pop("", [])
+
+    @F.pandas_udf(EMPTY)
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, codes in of.items():
+            machine.add_word(k, codes)
+        machine.make_automaton()
+        for batch in texts:
+            found = []
+            for text in batch:
+                if text is None:
+                    found.append([])
+                    continue
+                hits = {i for _, codes in machine.iter(text if case_sensitive else text.lower()) for i in codes} | set(always)
+                found.append([ids[i] for i in sorted(hits)])
+            yield pd.Series(found)
+
+    return find
 
 
 def membership_counts(df: DataFrame, members: DataFrame, key: str, column: str) -> DataFrame:
@@ -101,16 +130,21 @@ def hierarchy(frame: DataFrame) -> DataFrame:
     return frame.groupBy(F.coalesce("parent", F.lit("root")).alias("parent")).agg(F.array_sort(F.collect_list("code_id")).alias("children"))
 
 
-def ancestors(frame: DataFrame, depth: int = 16) -> DataFrame:
-    """Extension: (code_id, ancestor, distance) of the forest, by joins up to ``depth`` levels; cycles end there."""
+def ancestors(frame: DataFrame) -> DataFrame:
+    """Extension: (code_id, ancestor, distance) of the forest, by one join a level until no code has a further ancestor.
+
+    On a cycle a code's line ends before the code itself comes again. A frame is bounded where it is read, and so are its levels.
+    """
     step = frame.select("code_id", F.col("parent").alias("ancestor")).filter("ancestor is not null")
     level, out = step.withColumn("distance", F.lit(1)), None
     up = step.select(F.col("code_id").alias("ancestor"), F.col("ancestor").alias("next"))
-    for d in range(2, depth + 1):
+    levels = frame.count()
+    for d in range(2, levels + 2):
         out = level if out is None else out.unionByName(level)
-        level = level.join(up, "ancestor").select("code_id", F.col("next").alias("ancestor")).withColumn("distance", F.lit(d))
+        level = level.join(up, "ancestor").select("code_id", F.col("next").alias("ancestor")).withColumn("distance", F.lit(d)).filter("code_id <> ancestor")
         if level.isEmpty():
             break
+        level = materialize(level, "ancestors") if d % 8 == 0 else level
     return out
 
 

@@ -68,15 +68,18 @@ def chi_square(df: DataFrame, group_col: str, flag_col: str) -> DataFrame:
     """
     t = df.filter(F.col(group_col).isNotNull() & F.col(flag_col).isNotNull()).groupBy(F.col(group_col).alias("g"), F.col(flag_col).alias("f")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     rows, cols = t.groupBy("g").agg(F.sum("o").alias("r")), t.groupBy("f").agg(F.sum("o").alias("c"))
-    total = t.agg(F.sum("o").alias("N"))
-    dims = rows.agg(F.count(F.lit(1)).alias("nr")).join(F.broadcast(cols.agg(F.count(F.lit(1)).alias("nc"))))
-    # every cell of the table of groups and two or so flag values, also the empty ones
-    grid = rows.join(F.broadcast(cols.limit(1000))).join(t, ["g", "f"], "left").join(F.broadcast(total)).join(F.broadcast(dims))
+    n_rows = rows.agg(F.count(F.lit(1)).alias("nr"), F.sum(1 / F.col("r")).alias("ir"), F.sum("r").alias("N"))
+    n_cols = cols.agg(F.count(F.lit(1)).alias("nc"), F.sum(1 / F.col("c")).alias("ic"))
+    # the sum over all cells of (o - e)^2 / e is that of o^2 / e over the cells that occur, less N: empty cells need no grid
+    one = t.join(rows, "g").join(cols, "f").join(F.broadcast(n_rows))
     e = F.col("r") * F.col("c") / F.col("N")
-    gap = F.abs(F.coalesce("o", F.lit(0.0)) - e)
-    gap = F.when((F.col("nr") == 2) & (F.col("nc") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    one = grid.agg(F.coalesce(F.sum(gap * gap / e), F.lit(0.0)).alias("statistic"), F.coalesce(F.max((F.col("nr") - 1) * (F.col("nc") - 1)), F.lit(0)).alias("dof"))
-    return one.select(F.round("statistic", 6).alias("statistic"), "dof")
+    cells = one.agg(F.sum(F.col("o") * F.col("o") / e).alias("s"), F.max(F.abs(F.col("o") - e)).alias("gap"))
+    both = n_rows.join(F.broadcast(n_cols)).join(F.broadcast(cells))
+    # in a 2 x 2 table all four gaps are equal
+    gap = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
+    yates = gap * gap * F.col("N") * F.col("ir") * F.col("ic")
+    statistic = F.when((F.col("nr") == 2) & (F.col("nc") == 2), yates).otherwise(F.greatest(F.col("s") - F.col("N"), F.lit(0.0)))
+    return both.select(F.round(F.coalesce(statistic, F.lit(0.0)), 6).alias("statistic"), F.greatest((F.col("nr") - 1) * (F.col("nc") - 1), F.lit(0)).alias("dof"))
 
 
 def chi_square_p(statistic: float, dof: int) -> float:
@@ -118,15 +121,29 @@ def group_statistics(df: DataFrame, group_col: str) -> DataFrame:
 def positional_bias(df: DataFrame, id_col: str) -> DataFrame:
     """One row: mean num_codes of the first half by id and of the rest; significant if they differ by more than a half (n >= 20).
 
-    The halves come from the exact median of the ids, not from numbering all rows in one task.
+    The first half ends at the n // 2-th smallest id, found by rounds of bucket counts: no task numbers or holds all ids.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col(id_col), F.lit(0.5)).alias("mid"))
-    odd = F.col("n") % 2 == 1
-    first = F.when(odd, F.col(id_col) < F.col("mid")).otherwise(F.col(id_col) <= F.floor("mid"))
-    one = df.join(F.broadcast(n)).agg(F.max("n").alias("n"), F.avg(F.when(first, F.col("num_codes"))).alias("a"), F.avg(F.when(~first, F.col("num_codes"))).alias("b"))
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
+    place = n // 2
+    last = lo - 1 if not place and n else _nth(df, id_col, place, lo, hi) if n else 0
+    first = F.col(id_col) <= last
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(first, F.col("num_codes"))).alias("a"), F.avg(F.when(~first, F.col("num_codes"))).alias("b"))
     return one.select("n", F.round("a", 6).alias("first_half"), F.round("b", 6).alias("second_half"), ((F.col("n") >= 20) & (F.abs(F.col("a") - F.col("b")) > 0.5)).alias("significant"))
 
 
+def _nth(df: DataFrame, column: str, place: int, lo: int, hi: int, buckets: int = 1024) -> int:
+    """The place-th smallest value of an integer column within lo..hi: each round keeps one bucket of 1,024."""
+    while lo < hi:
+        width = -(-(hi - lo + 1) // buckets)
+        counts = df.filter(F.col(column).between(lo, hi)).groupBy(F.expr(f"(cast({column} as decimal(38,0)) - {lo}) div {width}").cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+        for b, n in counts:
+            if place <= n:
+                lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+                break
+            place -= n
+    return lo
+
+
 def health(df: DataFrame, codes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row: the number of issues found by fixed thresholds and the status: excellent, good, fair or poor."""
     k = F.coalesce("num_codes", F.lit(0))
@@ -144,6 +161,29 @@ def health(df: DataFrame, codes: DataFrame, labels: DataFrame | None = None) ->
     return one.select("n", F.round("uncoded", 6).alias("uncoded"), F.round("many", 6).alias("many"), F.round("p75", 6).alias("p75"), "unused", F.round("ratio", 6).alias("ratio"), count.cast("long").alias("issues"), status.alias("status"))
 
 
+def validity(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """One row, the bundle of validity measures: stability, coverage, saturation, use of codes, confidence, ambiguity, boundary cases.
+
+    Boundary cases are answers whose best confidence lies within 0.3..0.5. An empty table has coverage 0 and NULL means.
+    """
+    best = F.array_max("confidence_scores")
+    near = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(best.between(0.3, 0.5)).alias("boundary"))
+    use = utilisation(codes).agg(F.count_if(F.col("use") == "under").alias("underused"), F.count_if(F.col("use") == "over").alias("overused"))
+    parts = [stability(df), saturation(df, codes), use, confidence_distribution(df).select(F.col("mean").alias("mean_confidence"), F.col("median").alias("median_confidence")), ambiguity(df)]
+    one = near
+    for p in parts:  # each is one row
+        one = one.join(F.broadcast(p))
+    return one.select("n", "stability", F.round(1 - F.col("uncoded"), 6).alias("coverage"), "saturation", "unused", "underused", "overused", "mean_confidence", "median_confidence", "multi_share", "ambiguous_share", "boundary")
+
+
+def bias(df: DataFrame, codes: DataFrame, id_col: str, group_col: str) -> DataFrame:
+    """One row, the bundle of bias measures: imbalance of the codes, dependence of being coded on a group, position. Rows without group count for the others only."""
+    flagged = df.select(F.lower(F.trim(group_col)).alias("g"), (F.coalesce("num_codes", F.lit(0)) > 0).alias("f"))
+    one = imbalance(codes).join(F.broadcast(chi_square(flagged, "g", "f"))).join(F.broadcast(positional_bias(df, id_col).select("first_half", "second_half", F.col("significant").alias("position_bias"))))
+    warnings = F.array_compact(F.array(F.when(F.col("ratio") > 10, "codes out of balance"), F.when(F.col("position_bias"), "halves differ")))
+    return one.withColumn("warnings", F.array_join(warnings, ","))
+
+
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Extension: Cohen's kappa of two coders' columns."""
     t = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..skew import small
 from .features import ascii_words
 from .ml import Fitted
 
@@ -32,7 +33,7 @@ def topic_terms(fitted: Fitted, top: int = 10) -> DataFrame:
     z = F.explode(F.arrays_zip(F.slice("terms", 1, top).alias("term"), F.slice("weights", 1, top).alias("w")))
     cells = fitted.topics.select("topic", z.alias("z")).select("topic", "z.term", "z.w")
     best = cells.groupBy("topic").agg(F.max("w").alias("best"))
-    grid = fitted.topics.select("topic").join(F.broadcast(cells.select("term").distinct().limit(100_000)))
+    grid = fitted.topics.select("topic").join(small(cells.select("term").distinct()))
     scaled = grid.join(cells, ["topic", "term"], "left").join(best, "topic", "left")
     return scaled.select("topic", "term", F.coalesce(F.try_divide("w", "best"), F.lit(0.0)).alias("weight"))
 

@@ -130,18 +130,34 @@ def adaptive_config(median_words: float, vocabulary_size: int, n_docs: int, smal
     return VectorConfig(**(c | overrides))
 
 
+# Scores of the methods at the start, and what a dataset's size, length and diversity add to each.
+METHOD_SCORES = {
+    "start": {"tfidf_kmeans": 50, "lda": 40, "nmf": 45, "bert_kmeans": 30, "lstm_kmeans": 25, "svm": 20},
+    "fewer than 100 texts": {"tfidf_kmeans": 20, "nmf": 18, "svm": 15, "bert_kmeans": 10, "lda": -10, "lstm_kmeans": -15},
+    "fewer than 500 texts": {"tfidf_kmeans": 15, "nmf": 12, "lda": 10, "bert_kmeans": 10},
+    "500 texts or more": {"lda": 25, "nmf": 15, "tfidf_kmeans": 10, "bert_kmeans": 5, "lstm_kmeans": 10},
+    "under 20 words": {"bert_kmeans": 20, "tfidf_kmeans": 15, "nmf": 12, "lda": -5},
+    "under 100 words": {"tfidf_kmeans": 10, "nmf": 10, "lda": 10},
+    "100 words or more": {"lda": 20, "nmf": 10, "tfidf_kmeans": 5, "lstm_kmeans": 10},
+    "varied words": {"lda": 15, "nmf": 12, "bert_kmeans": 10},
+    "few words": {"tfidf_kmeans": 15, "nmf": 10, "svm": 10},
+    "more than 1000 texts": {"bert_kmeans": -15, "lstm_kmeans": -10},
+}
+
+
+def method_scores(n: int, mean_words: float, diversity: float) -> tuple[dict[str, int], list[str]]:
+    """(score of each of six methods, the traits that counted) of a dataset: its texts, mean words and share of different words."""
+    size = "fewer than 100 texts" if n < 100 else "fewer than 500 texts" if n < 500 else "500 texts or more"
+    length = "under 20 words" if mean_words < 20 else "under 100 words" if mean_words < 100 else "100 words or more"
+    traits = [size, length, *(["varied words"] if diversity > 0.6 else ["few words"] if diversity < 0.3 else []), *(["more than 1000 texts"] if n > 1000 else [])]
+    start = METHOD_SCORES["start"]
+    return {m: s + sum(METHOD_SCORES[t].get(m, 0) for t in traits) for m, s in start.items()}, traits
+
+
 def choose_method(n: int, mean_words: float, diversity: float) -> str:
-    """kmeans, lda or nmf by additive scores of size, length and diversity; the first wins ties."""
-    score = {"kmeans": 0, "lda": 0, "nmf": 0}
-    score["kmeans"] += 2 if n < 100 else 1
-    score["lda"] += 2 if n >= 500 else 0
-    score["nmf"] += 2 if 100 <= n < 500 else 1
-    score["kmeans"] += 2 if mean_words < 15 else 0
-    score["nmf"] += 2 if 15 <= mean_words < 50 else 0
-    score["lda"] += 3 if mean_words >= 50 else 0
-    score["lda"] += 1 if diversity > 0.5 else 0
-    score["nmf"] += 1 if diversity <= 0.5 else 0
-    return max(score, key=lambda k: score[k])
+    """The method of the highest score; the first of the list wins ties."""
+    score, _ = method_scores(n, mean_words, diversity)
+    return max(score, key=lambda m: score[m])
 
 
 def parity(first: DataFrame, second: DataFrame) -> DataFrame:

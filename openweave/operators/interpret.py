@@ -6,13 +6,17 @@ import json
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as L
+from ..skew import small
 
 # A small lexicon of our own; it is not equivalent to any published one.
 POSITIVE = frozenset("good great excellent love loved like happy helpful friendly easy fast reliable best better nice perfect amazing satisfied comfortable sturdy smooth polite clear fresh fair cheerful elegant refreshing".split())
 NEGATIVE = frozenset("bad poor terrible hate hated slow expensive broken rude difficult worst worse awful disappointed frustrating useless unreliable stressful noisy dirty flimsy overpriced sluggish bland confusing careless tiring".split())
+#: Topics that are summarised at most; more are refused.
+MAX_TOPICS = 1000
 # Labels too vague to keep.
 VAGUE = frozenset("general miscellaneous other various mixed topic theme cluster responses feedback comments unknown misc".split())
 
@@ -23,20 +27,43 @@ def without_subsets(terms: list[tuple[str, float]]) -> list[tuple[str, float]]:
     return [x for i, x in enumerate(terms) if not any(i != j and sets[i] < sets[j] for j in range(len(terms)))]
 
 
-def phrase_label(terms: list[tuple[str, float]], most: int = 3, words: int = 5) -> str:
-    """Greedy label: longer phrases weigh 1 + 0.3 (n - 1) more; no word twice; at most three terms or five words."""
-    ranked = sorted(terms, key=lambda x: (-x[1] * (1 + 0.3 * (len(x[0].split()) - 1)), x[0]))
-    used: set[str] = set()
-    chosen: list[str] = []
-    for term, _ in ranked:
-        parts = term.split()
-        if used & set(parts) or len(used) + len(parts) > words:
-            continue
-        chosen.append(term.title())
-        used |= set(parts)
-        if len(chosen) == most:
-            break
-    return " / ".join(chosen) or "Unlabeled"
+def phrase_label(terms: list[tuple[str, float]], most: int = 3, stopwords: frozenset[str] = frozenset()) -> str:
+    """Greedy label of the heaviest terms, a phrase of n words weighing 1 + 0.3 (n - 1) times its own weight.
+
+    Stop words are struck from a term first. A term counts if less than half of its words are said already, or if it is a phrase that
+    adds a word. The label ends at ``most`` terms or most + 2 words; without any term it is empty.
+    """
+    bare = [([w for w in t.split() if w.lower() not in stopwords], weight) for t, weight in terms]
+    ranked = sorted((x for x in bare if x[0]), key=lambda x: -x[1] * (1 + 0.3 * (len(x[0]) - 1)))
+    said: set[str] = set()
+    chosen: list[list[str]] = []
+    for words, _ in ranked:
+        low = {w.lower() for w in words}
+        known = len(low & said)
+        if known * 2 < len(low) or len(words) > 1 and known < len(words):
+            chosen.append(words)
+            said |= low
+            if len(chosen) == most or sum(map(len, chosen)) >= most + 2:
+                break
+    return " ".join(w.title() for words in chosen or [x[0] for x in ranked[:1]] for w in words)
+
+
+def label_stopwords(df: DataFrame, text_col: str, least: float = 0.7, most: int = 20, known: frozenset[str] = L.STOPWORDS) -> DataFrame:
+    """(word, documents): blank-separated words longer than two letters in at least ``least`` of all texts, the most frequent ``most``; ties by word."""
+    n = df.count()
+    words = df.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(known) or [""])))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= least * n).orderBy(F.desc("documents"), "word").limit(most)
+
+
+def representatives(doc_topics: DataFrame, texts: DataFrame, id_col: str, text_col: str, n: int = 3, width: int = 200) -> DataFrame:
+    """(topic, place, id, weight, text): per topic the documents it weighs most in, texts cut to width; ties by id.
+
+    Only documents whose strongest topic it is are its own. The top lists are cut by rank before the texts are joined.
+    """
+    top = doc_topics.select("id", (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("topic"), F.array_max("weights").alias("weight"))
+    best = top.filter("weight > 0").withColumn("place", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("weight"), "id")).cast("long")).filter(F.col("place") <= n)
+    t = texts.select(F.col(id_col).alias("id"), F.when(F.length(text_col) > width, F.concat(F.substring(text_col, 1, width - 3), F.lit("..."))).otherwise(F.col(text_col)).alias("text"))
+    return t.join(small(best), "id").select("topic", "place", "id", "weight", "text")
 
 
 def word_label(terms: list[tuple[str, float]], most: int = 3) -> str:
@@ -59,15 +86,31 @@ def confidence(terms: list[tuple[str, float]], documents: int, coherence: float
     return c * (0.9 if mixed else 1)
 
 
-def interpret(topics: DataFrame, sizes: dict[int, int], stopwords: frozenset[str] = L.STOPWORDS, least: float = 0.005, style: str = "phrase") -> list[dict]:
-    """One summary a topic: top 15 terms of enough weight without stop words, label, confidence, warnings. Topics are few: k rows."""
-    out = []
-    for r in topics.orderBy("topic").limit(1000).collect():
-        terms = [(t, w) for t, w in zip(r["terms"], r["weights"], strict=True) if w >= least and not all(x in stopwords for x in t.split())][:15]
+def interpret(
+    topics: DataFrame, sizes: dict[int, int], stopwords: frozenset[str] = L.STOPWORDS, least: float = 0.005, style: str = "phrase",
+    detected: frozenset[str] = frozenset(), documents: dict[int, list[str]] | None = None, moods: dict[int, dict] | None = None, strip_sentiment: bool = True,
+) -> list[dict]:
+    """One summary a topic: top 15 terms of enough weight, label, documents, sentiment, confidence, warnings. Topics are few: k rows.
+
+    Struck out: terms made of stop words, of words detected as too common in the texts, and, on request, of mere sentiment words.
+    documents: texts that stand for a topic (representatives); moods: rows of cluster_sentiment by topic.
+    """
+    gone = stopwords | detected | ((POSITIVE | NEGATIVE) if strip_sentiment else frozenset())
+    out, rows = [], topics.orderBy("topic").limit(MAX_TOPICS + 1).collect()
+    if len(rows) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} topics")
+    for r in rows:
+        terms = [(t, w) for t, w in zip(r["terms"], r["weights"], strict=True) if w >= least and not all(x in gone for x in t.split())][:15]
         terms = without_subsets(terms)
         n = sizes.get(r["topic"], 0)
-        warnings = [m for m, hit in (("no terms", not terms), ("no documents", n == 0), ("very few documents", 0 < n <= 2)) if hit]
-        out.append({"topic": r["topic"], "label": (phrase_label if style == "phrase" else word_label)(terms), "terms": terms, "documents": n, "confidence": round(confidence(terms, n), 4), "interpretable": bool(terms and n), "warnings": warnings})
+        mood = (moods or {}).get(r["topic"], {})
+        coherence, mixed = mood.get("coherence"), bool(mood.get("mixed"))
+        flags = (("no terms", not terms), ("no documents", n == 0), ("very few documents", 0 < n <= 2), ("few terms", 0 < len(terms) < 2), ("mixed sentiment", mixed), ("low coherence", coherence is not None and coherence < 0.4))
+        label = (phrase_label(terms, 3, stopwords | detected) if style == "phrase" else word_label(terms)) or "Unlabeled"
+        out.append({
+            "topic": r["topic"], "label": label, "terms": terms, "documents": n, "representatives": (documents or {}).get(r["topic"], []), "sentiment": mood or None,
+            "confidence": round(confidence(terms, n, coherence, mixed), 4), "interpretable": bool(terms and n), "warnings": [m for m, hit in flags if hit],
+        })
     return out
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_words, clean_multilingual
 from .features import VectorConfig, ngrams
 
+#: Starts of k-means, the best of which is kept.
+RESTARTS = 10
+#: Partial sums of a topic in a factorization, before the last.
+SPREAD = 64
 METHODS = ("kmeans", "lda", "nmf", "spectral", "bisecting")
 
 
@@ -30,7 +36,8 @@ class Fitted:
 
 def vectorize(df: DataFrame, id_col: str, text_col: str, config: VectorConfig = VectorConfig(), counts: bool = False):
     """(features, vocabulary): (id, features) as sparse vectors of counts or unit-length TF-IDF; blank texts are left out."""
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
 
     tokens = ascii_words(clean_multilingual(F.col(text_col)))
     if config.stopwords:
@@ -41,21 +48,10 @@ def vectorize(df: DataFrame, id_col: str, text_col: str, config: VectorConfig =
     d = cv.transform(d).select("id", "tf")
     if counts:
         return d.withColumnRenamed("tf", "features"), cv.vocabulary
-    idf = IDF(inputCol="tf", outputCol="idf").fit(d)
-    # MLlib's idf lacks the + 1, so the counts are added once
-    both = idf.transform(d).withColumn("raw", _plus("tf", "idf"))
-    return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(both).select("id", "features"), cv.vocabulary
-
-
-def _plus(a: str, b: str):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def add(x, y):
-        other = dict(zip(y.indices.tolist(), y.values.tolist(), strict=True))
-        return SparseVector(x.size, x.indices, [v + other.get(i, 0.0) for i, v in zip(x.indices.tolist(), x.values.tolist(), strict=True)])
-
-    return add(F.col(a), F.col(b))
+    # MLlib's idf lacks the + 1, so it is added to the weights by which the counts are multiplied
+    weights = Vectors.dense([x + 1.0 for x in IDF(inputCol="tf", outputCol="idf").fit(d).idf])
+    raw = ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="raw").transform(d)
+    return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(raw).select("id", "features"), cv.vocabulary
 
 
 def _topics(spark, weights: list[list[float]], vocabulary: list[str], top: int) -> DataFrame:
@@ -73,8 +69,12 @@ def fit(features: DataFrame, vocabulary: list[str], method: str = "kmeans", k: i
         from pyspark.ml.clustering import BisectingKMeans, KMeans
 
         if method == "kmeans":
-            runs = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(features) for i in range(3)]
-            model = min(runs, key=lambda m: m.summary.trainingCost)
+            held = features.persist()
+            with ThreadPoolExecutor(RESTARTS) as pool:  # the restarts share the cluster and the cached features
+                runs = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=iterations).fit(held), range(RESTARTS)))
+            costs = [m.summary.trainingCost for m in runs]
+            model = runs[costs.index(min(costs))]
+            held.unpersist()
         else:
             model = BisectingKMeans(k=k, seed=seed, maxIter=iterations).fit(features)
         centres = [c.tolist() for c in model.clusterCenters()]
@@ -96,7 +96,7 @@ def fit(features: DataFrame, vocabulary: list[str], method: str = "kmeans", k: i
 def _nmf(features: DataFrame, vocabulary: list[str], k: int, seed: int, top_terms: int, iterations: int) -> Fitted:
     """Non-negative factors by multiplicative updates: W stays with its documents, H (k x vocabulary) is summed over partitions.
 
-    Each round is one pass over the cached features; only k x vocabulary sums come to the driver, bounded by max_features.
+    Each round is one pass over the features; k x vocabulary sums come to the driver, bounded by max_features.
     """
     import numpy as np
     import pandas as pd
@@ -104,7 +104,7 @@ def _nmf(features: DataFrame, vocabulary: list[str], k: int, seed: int, top_term
     spark, v = features.sparkSession, len(vocabulary)
     rng = np.random.default_rng(seed)
     h = rng.random((k, v)) + 0.1
-    parts = features.select("id", vector_to_array("features").alias("x")).cache()
+    parts = features.select("id", vector_to_array("features").alias("x"))
 
     def solve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
         w = np.full((len(x), h.shape[0]), 1.0 / h.shape[0])
@@ -121,12 +121,18 @@ def _nmf(features: DataFrame, vocabulary: list[str], k: int, seed: int, top_term
                 w = solve(x, h)
                 num += w.T @ x
                 den += w.T @ w
-        yield pd.DataFrame({"num": [num.tobytes()], "den": [den.tobytes()]})
-
-    for _ in range(iterations):
-        rows = parts.mapInPandas(sums, "num binary, den binary").collect()
-        num = sum(np.frombuffer(r[0]).reshape(k, v) for r in rows)
-        den = sum(np.frombuffer(r[1]).reshape(k, k) for r in rows)
+        at = TaskContext.get().partitionId() % SPREAD  # which of the partial sums of a topic takes these
+        yield pd.DataFrame({"topic": range(k), "at": at, "sums": [np.concatenate([num[t], den[t]]).tobytes() for t in range(k)]})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in b["sums"]], axis=0)
+        return pd.DataFrame({"topic": [b["topic"].iloc[0]], "sums": [total.tobytes()]})
+
+    for _ in range(iterations):  # summed on the executors, topic by topic in two steps: the driver gets k rows
+        partial = parts.mapInPandas(sums, "topic int, at int, sums binary").groupBy("topic", "at").applyInPandas(add, "topic int, sums binary")
+        rows = partial.groupBy("topic").applyInPandas(add, "topic int, sums binary").orderBy("topic").collect()
+        both = np.stack([np.frombuffer(r[1]) for r in rows]) if rows else np.zeros((k, v + k))
+        num, den = both[:, :v], both[:, v:]
         h = h * num / np.maximum(den @ h, 1e-12)
     final = h.copy()
 

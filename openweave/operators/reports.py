@@ -85,7 +85,7 @@ def codebook_dict(book: DataFrame, examples: DataFrame | None = None, limit: int
         raise ValueError(f"more than {limit} codes")
     quotes: dict[str, list[str]] = {}
     if examples is not None:
-        for r in examples.orderBy("code", "place").limit(limit * 10).collect():
+        for r in examples.filter("place <= 5").orderBy("code", "place").collect():
             quotes.setdefault(r["code"], []).append(r["quote"][:200])
     return {r["code"]: {"label": r["label"], "keywords": list(r["keywords"] or []), "count": r["count"], "avg_confidence": r["avg_confidence"], "examples": quotes.get(r["code"], [])[:5]} for r in rows}
 

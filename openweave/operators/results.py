@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..skew import small
 from .coding import EMPTY
 
 
@@ -136,7 +137,7 @@ def keyword_overlap(topics: DataFrame, top: int = 7) -> DataFrame:
     """(a, b, shared): the keywords two topics have in common among their first ``top``; topics are few by nature (k of a model)."""
     x = topics.select(F.col("topic").alias("a"), F.slice("keywords", 1, top).alias("x"))
     y = topics.select(F.col("topic").alias("b"), F.slice("keywords", 1, top).alias("y"))
-    return x.join(F.broadcast(y.limit(1000)), F.col("a") < F.col("b")).select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared"))
+    return x.join(small(y), F.col("a") < F.col("b")).select("a", "b", F.array_sort(F.array_intersect("x", "y")).alias("shared"))
 
 
 def with_sentiment(codebook: DataFrame, assigned: DataFrame, sentiment: DataFrame, id_col: str) -> DataFrame:

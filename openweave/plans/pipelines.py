@@ -29,7 +29,8 @@ def open_coding(df: DataFrame, id_col: str, text_col: str, method: str = "auto",
         raise ValueError(f"{n} texts are too few for {k} codes")
     shape = features.text_profile(texts, text_col).first()
     if method == "auto":
-        method = features.choose_method(n, shape["mean_words"], shape["type_token_ratio"])
+        # the methods on embeddings need a precomputed column: their clustering runs on TF-IDF here
+        method = {"lda": "lda", "nmf": "nmf", "svm": "spectral"}.get(features.choose_method(n, shape["mean_words"], shape["type_token_ratio"]), "kmeans")
     config = features.adaptive_config(profile["p50"], profile["vocabulary"], n) if adaptive else features.VectorConfig()
     matrix, vocabulary = ml.vectorize(texts, id_col, text_col, config, counts=method == "lda")
     matrix = matrix.cache()

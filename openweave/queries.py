@@ -452,7 +452,7 @@ def display_cluster_terms(spark, sf):
 
 
 def _model(spark, sf, method):
-    m, v = ml.vectorize(read_table(spark, sf, "sample_texts").withColumn("n", F.monotonically_increasing_id()), "n", "input", features.VectorConfig(max_ngram=1, max_features=300, stopwords=L.STOPWORDS), counts=method == "lda")
+    m, v = ml.vectorize(read_table(spark, sf, "sample_texts"), "id", "input", features.VectorConfig(max_ngram=1, max_features=300, stopwords=L.STOPWORDS), counts=method == "lda")
     m = materialize(m, "features") if method != "spectral" else m
     fitted = ml.fit(m, v, method, 6)
     return ml.codebook(fitted, ml.assign(fitted.doc_topics)).select("code", "label", F.array_join("keywords", ",").alias("keywords"), "count", "avg_confidence")

@@ -25,11 +25,13 @@ def get_spark(app: str = "openweave", cores: int | str = "*", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from spark.checkpoint.dir; a local folder is set only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(spark, "_openweave_dir", None)
         if where is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="openweave-")
             spark._openweave_dir = where
     return where.rstrip("/")

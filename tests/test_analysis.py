@@ -104,7 +104,7 @@ def test_open_coding_end_to_end(spark, topics):
 def test_interpretation():
     terms = [("late parcel", 0.5), ("parcel", 0.4), ("courier", 0.3)]
     assert interpret.without_subsets(terms) == [("late parcel", 0.5), ("courier", 0.3)]
-    assert interpret.phrase_label(terms) == "Late Parcel / Courier" and interpret.word_label([]) == "Unlabeled"
+    assert interpret.phrase_label(terms) == "Late Parcel Courier" and interpret.phrase_label([]) == "" and interpret.word_label([]) == "Unlabeled"
     assert interpret.parse_answer('```json\n{"label": "X", "description": "d"}\n```')["label"] == "X" and interpret.parse_answer("Label: Y\nDescription: z") == {"label": "Y", "description": "z", "alternatives": []}
     assert interpret.is_vague("General topic") and not interpret.is_vague("Late parcels")
     assert reports.audit("This proves it")[0][0] == "proves"
