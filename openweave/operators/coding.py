@@ -188,6 +188,11 @@ class Category:
     min_codes: int | None = None
     max_codes: int | None = None
 
+    @staticmethod
+    def at_level(categories: list[Category], level: int) -> list[Category]:
+        """The categories of one level, in their order."""
+        return [c for c in categories if c.level == level]
+
     def predicate(self, columns: list[str]) -> Column:
         """A criterion on a missing column fails; without criteria every row qualifies; any of nothing fails, all of nothing holds."""
 

@@ -72,7 +72,7 @@ def phrase_frequencies(df: DataFrame, id_col: str, text_col: str, config: Vector
         config = VectorConfig(config.min_ngram, config.max_ngram, config.max_features, 1, 1.0, config.sublinear, config.stopwords)
     w, _ = tfidf(df, id_col, text_col, config)
     words = F.size(F.split("term", " "))
-    s = w.groupBy("term").agg((F.sum("weight") / n).alias("m")).withColumn("s", F.col("m") * (1 + 0.3 * (words - 1))).orderBy(F.desc("s"), "term").limit(top)
+    s = w.groupBy("term").agg((F.sum("weight") / n).alias("m")).withColumn("s", F.col("m") * (1 + 0.3 * (words - 1))).orderBy(F.desc(F.round("s", 9)), "term").limit(top)
     best = s.agg(F.max("s").alias("best"))
     return s.join(F.broadcast(best)).select("term", F.greatest(F.lit(1.0), F.round(100 * F.col("s") / F.col("best"), 6)).alias("score"))
 
@@ -102,6 +102,14 @@ def text_profile(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """(column, n, nulls, distinct): one row a column; arrays count as one value each. One pass with partial aggregation."""
+    aggs = [a for i, c in enumerate(df.columns) for a in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}"))]
+    one = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"n{i}").alias("nulls"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(df.columns)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def label_profile(df: DataFrame, label_col: str) -> DataFrame:
     """One row: rows, missing labels and their share, distinct labels, and the delimiter that more than a tenth of the labels hold."""
     label = F.col(label_col)

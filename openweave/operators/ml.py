@@ -17,6 +17,8 @@ from .features import VectorConfig, ngrams
 
 #: Starts of k-means, the best of which is kept.
 RESTARTS = 10
+#: Rows of a partition from which another pays.
+ROWS_A_TASK = 10_000
 #: Partial sums of a topic in a factorization, before the last.
 SPREAD = 64
 METHODS = ("kmeans", "lda", "nmf", "spectral", "bisecting")
@@ -69,7 +71,8 @@ def fit(features: DataFrame, vocabulary: list[str], method: str = "kmeans", k: i
         from pyspark.ml.clustering import BisectingKMeans, KMeans
 
         if method == "kmeans":
-            held = features.persist()
+            # as many partitions as the rows are worth: the restarts, not the pieces of one, fill a small cluster
+            held = features.coalesce(max(1, -(-features.count() // ROWS_A_TASK))).persist()
             with ThreadPoolExecutor(RESTARTS) as pool:  # the restarts share the cluster and the cached features
                 runs = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=iterations).fit(held), range(RESTARTS)))
             costs = [m.summary.trainingCost for m in runs]

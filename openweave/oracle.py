@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .functions import wordlists as L
+from .operators.displays import DISPLAYS
+from .operators.features import METHOD_SCORES
 
 CODED = """k AS (SELECT code_id, unnest(keywords) AS kw FROM code_frame),
     hit AS (SELECT DISTINCT m.id, k.code_id FROM market_research_survey_300 m JOIN k ON contains(lower(m.response), lower(k.kw))),
@@ -119,6 +121,44 @@ def oracle_sql() -> dict[str, str]:
         "extension_rollup": "SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, date_trunc('day', ts))",
         "extension_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     }
+    shown = sorted({d for v in DISPLAYS.values() for d in v})
+    pairs = ", ".join(f"('{m}', '{d}', {str(d in v).lower()})" for m, v in sorted(DISPLAYS.items()) for d in shown)
+    out["display_availability"] = f"SELECT * FROM (VALUES {pairs}) AS v(method, display, available)"
+    out["features_split_labels"] = r"SELECT label, count(*) AS n FROM (SELECT trim(unnest(string_split(input, ',')), ' ') AS label FROM sample_texts) WHERE label <> '' AND NOT regexp_matches(lower(trim(label)), '^(unknown|none|n/?a|\s*|unlabeled|unassigned|no\s*label|\?)$') GROUP BY label HAVING count(*) > 1"
+    cut = r"list_filter(list_transform({}, lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: length(x) >= 1)"
+    out["text_hierarchy"] = f"""WITH p AS (SELECT doc_id, text, {cut.format(r"string_split_regex(text, '\r\n\r\n|\n\n')")} AS ps FROM documents WHERE text <> ''),
+        q AS (SELECT doc_id, unnest(ps) AS pt, unnest(range(len(ps))) AS i FROM p),
+        s AS (SELECT doc_id, i, {cut.format(r"regexp_extract_all(pt, '(?m)([^.|!|?]+[.|!|?]+(?:\s+|$)|[^.|!|?]+$)')")} AS ss FROM q),
+        u AS (SELECT doc_id, i, unnest(ss) AS st, unnest(range(len(ss))) AS j FROM s),
+        z AS (SELECT 'response' AS segment_type, text AS t, 0 AS position FROM p UNION ALL SELECT 'paragraph', pt, i FROM q UNION ALL SELECT 'sentence', st, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 FROM u)
+        SELECT segment_type, count(*) AS n, sum(length(t))::BIGINT AS chars, sum(position)::BIGINT AS positions FROM z GROUP BY 1"""
+    grams = "list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END)"
+    out["features_phrases"] = f"""WITH d AS (SELECT id, regexp_extract_all(lower(input), '[a-z]{{2,}}') AS w FROM sample_texts WHERE input IS NOT NULL), n AS (SELECT count(*) AS n FROM d), t AS (SELECT id, unnest({grams}) AS term FROM d),
+        f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= (SELECT n * 0.8 FROM n) ORDER BY total DESC, term LIMIT 1000),
+        w AS (SELECT id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS raw FROM f JOIN v USING (term), n), m AS (SELECT id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY 1),
+        s AS (SELECT term, sum(raw / norm) / any_value(n) * (1 + 0.3 * (len(string_split(term, ' ')) - 1)) AS s FROM w JOIN m USING (id), n GROUP BY 1 ORDER BY round(s, 9) DESC, term LIMIT 50) SELECT term, round(greatest(1.0, 100 * s / max(s) OVER ()), 4) AS score FROM s"""
+    add = lambda trait, m: METHOD_SCORES[trait].get(m, 0)
+    out["features_method"] = r"WITH d AS (SELECT response FROM remote_work_experiences_200 WHERE response IS NOT NULL), a AS (SELECT count(*) AS n, avg(len(regexp_extract_all(response, '\S+'))) AS w FROM d), b AS (SELECT count(DISTINCT w)::DOUBLE / count(w) AS u FROM (SELECT unnest(regexp_extract_all(lower(response), '[a-z]+')) AS w FROM d))" + " UNION ALL ".join(
+        f""" SELECT '{m}' AS method, ({s} + CASE WHEN n < 100 THEN {add('fewer than 100 texts', m)} WHEN n < 500 THEN {add('fewer than 500 texts', m)} ELSE {add('500 texts or more', m)} END
+        + CASE WHEN w < 20 THEN {add('under 20 words', m)} WHEN w < 100 THEN {add('under 100 words', m)} ELSE {add('100 words or more', m)} END
+        + CASE WHEN u > 0.6 THEN {add('varied words', m)} WHEN u < 0.3 THEN {add('few words', m)} ELSE 0 END + CASE WHEN n > 1000 THEN {add('more than 1000 texts', m)} ELSE 0 END)::BIGINT AS score FROM a, b"""
+        for m, s in METHOD_SCORES["start"].items()
+    )
+    out["features_label_stopwords"] = rf"SELECT word, count(*) AS documents FROM (SELECT DISTINCT id, unnest(string_split_regex(lower(response), '\s+')) AS word FROM remote_work_experiences_200) WHERE length(word) > 2 AND word NOT IN ({_in(L.STOPWORDS)}) GROUP BY 1 HAVING count(*) >= 0.1 * (SELECT count(*) FROM remote_work_experiences_200) ORDER BY documents DESC, word LIMIT 20"
+    out["features_columns"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM market_research_survey_300" for c in ("id", "response", "respondent_id", "submitted_at", "demographic_segment"))
+    out["coding_category_level"] = themed + ", u AS (SELECT unnest(categories) AS category_id FROM g) SELECT v.category_id, count(u.category_id) AS count FROM (VALUES ('COSTLY'), ('HUMAN')) AS v(category_id) LEFT JOIN u USING (category_id) GROUP BY 1"
+    out["extension_intersect"] = "SELECT respondent_id FROM market_research_survey_300 INTERSECT SELECT respondent_id FROM remote_work_experiences_200"
+    out["extension_except"] = "SELECT respondent_id, count(*) AS n FROM (SELECT respondent_id FROM market_research_survey_300 EXCEPT ALL SELECT respondent_id FROM remote_work_experiences_200) GROUP BY 1"
+    of = {k: out[f"diagnostics_{k}"].removeprefix(one).strip() for k in ("stability", "saturation", "utilisation", "confidence", "ambiguity", "imbalance", "chi_square", "position")}
+    inner = lambda k: "(WITH " + of[k].removeprefix(", ") + ")" if of[k].startswith(",") else "(" + of[k] + ")"
+    out["diagnostics_validity"] = one + f""" SELECT (SELECT count(*) FROM r) AS n, s.stability, round(1 - t.uncoded, 6) AS coverage, t.saturation, t.unused, u.underused, u.overused, c.mean AS mean_confidence, c.median AS median_confidence, m.multi_share, m.ambiguous_share,
+        (SELECT count(*) FROM r WHERE list_max(confidence_scores) BETWEEN 0.3 AND 0.5) AS boundary
+        FROM {inner('stability')} s, {inner('saturation')} t, (SELECT count(*) FILTER (use = 'under') AS underused, count(*) FILTER (use = 'over') AS overused FROM {inner('utilisation')}) u, {inner('confidence')} c, {inner('ambiguity')} m"""
+    # the bundle covers the answers whose respondent is known
+    known = ONCE.replace("FROM ml_results GROUP BY response_id)", "FROM ml_results WHERE response_id IN (SELECT w.id FROM remote_work_experiences_200 w JOIN respondents p USING (respondent_id)) GROUP BY response_id)", 1)
+    everything = "(" + one + " " + of["imbalance"] + ")"
+    out["diagnostics_bias"] = f"""WITH {known} SELECT i.*, c.*, p.first_half, p.second_half, p.significant AS position_bias, concat_ws(',', CASE WHEN i.ratio > 10 THEN 'codes out of balance' END, CASE WHEN p.significant THEN 'halves differ' END) AS warnings
+        FROM {everything} i, {inner('chi_square')} c, {inner('position')} p"""
     flags = f"""WITH a AS (SELECT id, response, {trimmed} AS x FROM market_research_survey_300), b AS (SELECT *, lower(x) AS low, list_filter(regexp_extract_all(lower(response), '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-z]+')) AS w FROM a),
         d AS (SELECT id, response IS NULL OR x = '' AS blank, length(x) < 10 AS f1, len(w) < 3 AS f2, ({patterns}) OR (length(low) >= 3 AND replace(low, substr(low, 1, 1), '') = '' AND substr(low, 1, 1) <> chr(10)) AS f3,
             len(w) > 0 AND 1.0 - len(list_distinct(w)) / len(w) > 0.7 AS f4, len(w) > 0 AND len(list_filter(w, lambda t: t IN ({_in(L.COMMON_ENGLISH)}))) / len(w) < 0.3 AS f5 FROM b),

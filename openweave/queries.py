@@ -103,6 +103,10 @@ def coding_category_summary(spark, sf):
     return coding.category_summary(grouped(spark, sf), CATEGORIES).select("category_id", "name", F.col("level").cast("long").alias("level"), "count")
 
 
+def coding_category_level(spark, sf):
+    return coding.category_summary(grouped(spark, sf), Category.at_level(CATEGORIES, 2)).select("category_id", "count")
+
+
 def coding_cross_tab(spark, sf):
     return coding.cross_tabulation(grouped(spark, sf), "BROAD", "HUMAN")
 
@@ -268,6 +272,14 @@ def diagnostics_position(spark, sf):
     return diagnostics.positional_bias(ml_results(spark, sf), "response_id")
 
 
+def diagnostics_validity(spark, sf):
+    return diagnostics.validity(ml_results(spark, sf), _codes(spark, sf))
+
+
+def diagnostics_bias(spark, sf):
+    return diagnostics.bias(_with_people(spark, sf).drop("response_text"), _codes(spark, sf), "response_id", "gender")
+
+
 def diagnostics_health(spark, sf):
     return diagnostics.health(ml_results(spark, sf), _codes(spark, sf))
 
@@ -366,7 +378,7 @@ def features_tfidf(spark, sf):
 
 
 def features_phrases(spark, sf):
-    return features.phrase_frequencies(read_table(spark, sf, "sample_texts"), "id", "input", features.VectorConfig(max_ngram=3))
+    return features.phrase_frequencies(read_table(spark, sf, "sample_texts"), "id", "input", features.VectorConfig(max_ngram=3)).select("term", F.round("score", 4).alias("score"))
 
 
 def features_profile(spark, sf):
@@ -389,6 +401,21 @@ def features_word_cloud(spark, sf):
     return features.word_cloud(remote(spark, sf), "response", L.STOPWORDS, 50)
 
 
+def features_method(spark, sf):
+    """The score of every method for the remote survey."""
+    p = features.text_profile(remote(spark, sf), "response").first()
+    scores, _ = features.method_scores(p["n"], p["mean_words"], p["type_token_ratio"])
+    return spark.createDataFrame(sorted(scores.items()), "method string, score long")
+
+
+def features_label_stopwords(spark, sf):
+    return interpret.label_stopwords(remote(spark, sf), "response", 0.1)
+
+
+def features_columns(spark, sf):
+    return features.column_profile(market(spark, sf).select("id", "response", "respondent_id", "submitted_at", "demographic_segment"))
+
+
 def features_split_labels(spark, sf):
     d = read_table(spark, sf, "sample_texts").select(F.explode(split_labels(F.col("input"), ",")).alias("label"))
     return d.filter(~unknown_label_pattern(F.col("label"))).groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -490,6 +517,20 @@ def stream_coded(spark, sf):
 # --- extensions -----------------------------------------------------------------------------------------------------------
 
 
+def _respondents(spark, sf):
+    return market(spark, sf).select("respondent_id"), remote(spark, sf).select("respondent_id")
+
+
+def extension_intersect(spark, sf):
+    a, b = _respondents(spark, sf)
+    return a.intersect(b)
+
+
+def extension_except(spark, sf):
+    a, b = _respondents(spark, sf)
+    return a.exceptAll(b).groupBy("respondent_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def extension_rollup(spark, sf):
     d = read_table(spark, sf, "events")
     return d.rollup("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
