@@ -12,30 +12,29 @@ NON_ANALYTIC = (
     r"^test\.?$", r"^asdf+$", r"^(.)\1{2,}$", r"^\.+$", r"^-+$", r"^\s*$",
 )
 # Contractions and their long forms.
-CONTRACTIONS = dict(
-    x.split("=")
-    for x in (
-        "aren't=are not|can't=cannot|couldn't=could not|didn't=did not|doesn't=does not|don't=do not|hadn't=had not|hasn't=has not|haven't=have not|he'd=he would|he'll=he will|he's=he is|i'd=i would|i'll=i will|"
-        "i'm=i am|i've=i have|isn't=is not|it'd=it would|it'll=it will|it's=it is|let's=let us|mightn't=might not|mustn't=must not|shan't=shall not|she'd=she would|she'll=she will|she's=she is|shouldn't=should not|"
-        "that's=that is|there'd=there would|there's=there is|they'd=they would|they'll=they will|they're=they are|they've=they have|we'd=we would|we'll=we will|we're=we are|we've=we have|weren't=were not|"
-        "what'll=what will|what're=what are|what's=what is|what've=what have|where'd=where did|where's=where is|who'd=who would|who'll=who will|who're=who are|who's=who is|who've=who have|won't=will not|"
-        "wouldn't=would not|you'd=you would|you'll=you will|you're=you are|you've=you have|ain't=is not|gonna=going to|gotta=got to|wanna=want to|kinda=kind of|sorta=sort of|coulda=could have|woulda=would have|"
-        "shoulda=should have|musta=must have|lemme=let me|gimme=give me|dunno=do not know|y'all=you all|c'mon=come on|ma'am=madam|o'clock=of the clock|'cause=because|how'd=how did|how'll=how will|how's=how is|"
-        "when's=when is|why'd=why did|why's=why is"
-    ).split("|")
-)
+CONTRACTIONS = {
+    "aren't": "are not", "can't": "cannot", "couldn't": "could not", "didn't": "did not", "doesn't": "does not", "don't": "do not", "hadn't": "had not", "hasn't": "has not",
+    "haven't": "have not", "he'd": "he would", "he'll": "he will", "he's": "he is", "i'd": "i would", "i'll": "i will", "i'm": "i am", "i've": "i have", "isn't": "is not",
+    "it'd": "it would", "it'll": "it will", "it's": "it is", "let's": "let us", "mightn't": "might not", "mustn't": "must not", "shan't": "shall not", "she'd": "she would",
+    "she'll": "she will", "she's": "she is", "shouldn't": "should not", "that's": "that is", "there'd": "there would", "there's": "there is", "they'd": "they would", "they'll": "they will",
+    "they're": "they are", "they've": "they have", "we'd": "we would", "we'll": "we will", "we're": "we are", "we've": "we have", "weren't": "were not", "what'll": "what will",
+    "what're": "what are", "what's": "what is", "what've": "what have", "where'd": "where did", "where's": "where is", "who'd": "who would", "who'll": "who will", "who're": "who are",
+    "who's": "who is", "who've": "who have", "won't": "will not", "wouldn't": "would not", "you'd": "you would", "you'll": "you will", "you're": "you are", "you've": "you have",
+    "ain't": "is not", "gonna": "going to", "gotta": "got to", "wanna": "want to", "kinda": "kind of", "sorta": "sort of", "coulda": "could have", "woulda": "would have",
+    "shoulda": "should have", "musta": "must have", "lemme": "let me", "gimme": "give me", "dunno": "do not know", "y'all": "you all", "c'mon": "come on", "ma'am": "madam",
+    "o'clock": "of the clock", "'cause": "because", "how'd": "how did", "how'll": "how will", "how's": "how is", "when's": "when is", "why'd": "why did", "why's": "why is",
+}
 # Chat abbreviations (expanded only on request).
-SLANG = dict(
-    x.split("=")
-    for x in (
-        "lol=laughing out loud|lmao=laughing my ass off|lmfao=laughing my fucking ass off|rofl=rolling on floor laughing|brb=be right back|btw=by the way|imo=in my opinion|imho=in my humble opinion|tbh=to be honest|"
-        "ngl=not gonna lie|idk=i do not know|omg=oh my god|omfg=oh my fucking god|wtf=what the fuck|wth=what the heck|smh=shaking my head|fyi=for your information|afaik=as far as i know|iirc=if i recall correctly|"
-        "tldr=too long did not read|tl;dr=too long did not read|irl=in real life|ikr=i know right|nvm=never mind|ftw=for the win|fwiw=for what it is worth|ama=ask me anything|eli5=explain like i am five|"
-        "diy=do it yourself|tmi=too much information|bff=best friends forever|jk=just kidding|np=no problem|thx=thanks|ty=thank you|yw=you are welcome|pls=please|plz=please|rn=right now|atm=at the moment|"
-        "asap=as soon as possible|eta=estimated time of arrival|goat=greatest of all time|fomo=fear of missing out|yolo=you only live once|tbd=to be determined|tba=to be announced|nsfw=not safe for work|"
-        "sfw=safe for work|afk=away from keyboard|gtg=got to go|g2g=got to go|cya=see you|cu=see you"
-    ).split("|")
-)
+SLANG = {
+    "lol": "laughing out loud", "lmao": "laughing my ass off", "lmfao": "laughing my fucking ass off", "rofl": "rolling on floor laughing", "brb": "be right back", "btw": "by the way",
+    "imo": "in my opinion", "imho": "in my humble opinion", "tbh": "to be honest", "ngl": "not gonna lie", "idk": "i do not know", "omg": "oh my god", "omfg": "oh my fucking god",
+    "wtf": "what the fuck", "wth": "what the heck", "smh": "shaking my head", "fyi": "for your information", "afaik": "as far as i know", "iirc": "if i recall correctly",
+    "tldr": "too long did not read", "tl;dr": "too long did not read", "irl": "in real life", "ikr": "i know right", "nvm": "never mind", "ftw": "for the win",
+    "fwiw": "for what it is worth", "ama": "ask me anything", "eli5": "explain like i am five", "diy": "do it yourself", "tmi": "too much information", "bff": "best friends forever",
+    "jk": "just kidding", "np": "no problem", "thx": "thanks", "ty": "thank you", "yw": "you are welcome", "pls": "please", "plz": "please", "rn": "right now", "atm": "at the moment",
+    "asap": "as soon as possible", "eta": "estimated time of arrival", "goat": "greatest of all time", "fomo": "fear of missing out", "yolo": "you only live once", "tbd": "to be determined",
+    "tba": "to be announced", "nsfw": "not safe for work", "sfw": "safe for work", "afk": "away from keyboard", "gtg": "got to go", "g2g": "got to go", "cya": "see you", "cu": "see you",
+}
 # Signs of advertising.
 SPAM = (
     r"buy\s+now", r"click\s+here", r"limited\s+time\s+offer", r"act\s+now", r"free\s+(?:gift|money|trial)", r"100%\s+(?:free|guaranteed)", r"no\s+obligation", r"winner\s+(?:selected|chosen)",
@@ -44,7 +43,7 @@ SPAM = (
 )
 # Negations that stop-word removal keeps.
 NEGATIONS = frozenset("not no never none nobody nothing neither nowhere cannot can't don't doesn't didn't won't wouldn't shouldn't couldn't hasn't haven't hadn't isn't aren't wasn't weren't".split())
-# General English stop words.
+# General English stop words, those of NLTK's public list without its forms with an apostrophe.
 STOPWORDS = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is "
     "are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up "

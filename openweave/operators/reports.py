@@ -60,11 +60,37 @@ def recommendations(health: DataFrame) -> list[str]:
     return [text for hit, text in rules if hit] or ["No issue was found by the fixed checks."]
 
 
-def methods(parameters: dict, data: dict) -> str:
-    """A methods section: data, parameters, limits."""
-    out = ["# Methods", "", "## Data", ""] + [f"- {k}: {v}" for k, v in sorted(data.items())]
+def methods(parameters: dict, data: dict, quality: dict | None = None, steps: list[str] | None = None) -> str:
+    """A methods section: data, steps, parameters, how quality was judged, reproduction, assumptions and limits, ethics."""
+    lines = lambda d: [f"- {k}: {v}" for k, v in sorted(d.items())]
+    out = ["# Methods", "", "## Data", "", *lines(data)]
+    if steps:
+        out += ["", "## Procedure", "", *(f"{i}. {s}" for i, s in enumerate(steps, 1))]
     out += ["", "## Parameters", "", "| parameter | value |", "|---|---|"] + [f"| {k} | {v} |" for k, v in sorted(parameters.items())]
-    return "\n".join([*out, "", "## Limits", "", "- Codes are found by rule or by unsupervised models and need human review."])
+    if quality:
+        out += ["", "## Quality measures", "", *lines(quality)]
+    seed = parameters.get("seed")
+    return "\n".join([
+        *out, "", "## Reproduction", "", f"- Random seed: {seed if seed is not None else 'none was set'}", "- The same input, parameters and versions give the same codes.",
+        "", "## Assumptions", "", "- Answers that share words are taken to share meaning.", "- An answer may have several codes or none.",
+        "", "## Limits", "", "- Codes are found by rule or by unsupervised models and need human review.", "- Measures of quality describe the fit to the text, not the truth of the codes.",
+        "", "## Ethics", "", "- Answers may hold personal data; quotes should be checked before they are published.", "",
+    ])
+
+
+def parameter_log(entries: list[tuple[str, dict]]) -> str:
+    """Steps with their parameters as JSON lines, in order."""
+    import json
+
+    return "\n".join(json.dumps({"order": i, "step": step, "parameters": p}, sort_keys=True, default=str) for i, (step, p) in enumerate(entries, 1))
+
+
+def analysis_summary(summary: DataFrame, validity: DataFrame, health: DataFrame, frequencies: DataFrame) -> str:
+    """The question-and-answer report of an analysis: figures, validity, health, insights, what to do."""
+    v, h = validity.first().asDict(), health.first().asDict()
+    shown = lambda d: [f"- {k.replace('_', ' ')}: {'-' if x is None else x}" for k, x in d.items()]
+    out = [executive_summary(summary, frequencies), "", "## Validity", "", *shown(v), "", "## Health", "", *shown(h), "", "## Insights", "", *(f"- {x}" for x in insights(summary, frequencies))]
+    return "\n".join([*out, "", "## What to do", "", *(f"- {x}" for x in recommendations(health)), ""])
 
 
 def audit(text: str, around: int = 50) -> list[tuple[str, str]]:

@@ -41,7 +41,30 @@ def open_coding(df: DataFrame, id_col: str, text_col: str, method: str = "auto",
     out = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(assigned, "id")
     book = ml.codebook(fitted, assigned)
     sizes = {int(r["code"][5:]) - 1: r["count"] for r in book.select("code", "count").collect()}
+    # what the reader of a cluster needs besides its terms: its most typical texts, its mood, words that are everywhere
+    typical: dict[int, list[str]] = {}
+    for r in interpret.representatives(fitted.doc_topics, texts, id_col, text_col).orderBy("topic", "place").collect():
+        typical.setdefault(r["topic"], []).append(r["text"])
+    strongest = fitted.doc_topics.select("id", (F.array_position("weights", F.array_max("weights")) - 1).cast("int").alias("topic"))
+    mood = interpret.analyze_sentiment(out.join(strongest, "id"), "text")
+    moods = {r["cluster"]: r.asDict() for r in interpret.cluster_sentiment(mood, "topic").collect()}
+    detected = frozenset(r["word"] for r in interpret.label_stopwords(texts, text_col).collect())
+    summaries = interpret.interpret(fitted.topics, sizes, detected=detected, documents=typical, moods=moods)
     return {
-        "results": out, "codebook": book, "metrics": results.metrics_summary(out, book, "code"), "summaries": interpret.interpret(fitted.topics, sizes),
+        "results": out, "codebook": book, "metrics": results.metrics_summary(out, book, "code"), "summaries": summaries,
         "method": method, "k": k, "scores": ml.scores(matrix, fitted), "model": fitted,
     }
+
+
+def outputs(coded: DataFrame, book: DataFrame, id_col: str = "id", text_col: str = "text") -> dict[str, DataFrame]:
+    """The twelve tables of an analysis by name, for writers.export_all or csv_package.
+
+    coded: (id, text, assigned_codes, confidence_scores, num_codes); book: the codebook with a column code.
+    """
+    members, flat = book.select("code"), results.assignments(coded, id_col, text_col)
+    return {
+        "code_assignments": coded, "codebook": book, "frequency_table": coding.frequency_table(coded, members, "code", "assigned_codes"), "quality_metrics": results.quality_metrics(coded),
+        "binary_matrix": results.binary_matrix(coded, id_col, members, "code"), "representative_quotes": results.quotes(flat, id_col, text_col),
+        "cooccurrence_matrix": coding.cooccurrence_matrix(coded, members, "code", "assigned_codes"), "cooccurrence_pairs": coding.cooccurrence(coded, "assigned_codes", 1),
+        "descriptive_statistics": results.descriptive(coded), "qa_report": results.qa_report(coded), "uncoded_responses": results.uncoded(coded), "low_confidence_responses": results.low_confidence(coded),
+    }

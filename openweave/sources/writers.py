@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,11 +64,42 @@ def non_analytic(assessed: DataFrame, path: str, include_review: bool = True) ->
     return rows.count()
 
 
-def download_link(df: DataFrame, filename: str, label: str, rows: int = 10_000) -> str:
-    """A small table as a data link; tables beyond ``rows`` are refused."""
+def write_text(spark: SparkSession, text: str, path: str) -> str:
+    """One text as one UTF-8 file on any file system Spark knows (methods documents, summaries, reports); returns the path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return path
+
+
+def csv_package(tables: dict[str, DataFrame], rows: int = 100_000) -> bytes:
+    """Small tables as one zip archive of CSV files, in memory; a table beyond ``rows`` is refused: export_all writes any size."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in tables.items():
+            page = flat(df).limit(rows + 1).toPandas()
+            if len(page) > rows:
+                raise ValueError(f"{name} has more than {rows} rows")
+            z.writestr(f"{name}.csv", page.to_csv(index=False))
+    return out.getvalue()
+
+
+def download_link(df: DataFrame, filename: str, label: str, rows: int = 10_000, form: str = "csv") -> str:
+    """A small table as a data link, csv or json; tables beyond ``rows`` are refused."""
     import base64
 
     page = flat(df).limit(rows + 1).toPandas()
     if len(page) > rows:
         raise ValueError(f"more than {rows} rows")
-    return f'<a href="data:text/csv;base64,{base64.b64encode(page.to_csv(index=False).encode()).decode()}" download="{filename}">{label}</a>'
+    kinds = {"csv": ("text/csv", lambda: page.to_csv(index=False)), "json": ("application/json", lambda: page.to_json(orient="records"))}
+    if form not in kinds:
+        raise ValueError(f"unknown form {form}")
+    kind, body = kinds[form]
+    return f'<a href="data:{kind};base64,{base64.b64encode(body().encode()).decode()}" download="{filename}">{label}</a>'

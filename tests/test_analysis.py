@@ -93,6 +93,41 @@ def test_models_find_three_topics(spark, topics, method):
     assert all(1 >= c >= 0.3 for r in a.collect() for c in r.confidence_scores)
 
 
+def test_the_twelve_outputs_make_the_round_trip(spark, tmp_path):
+    from openweave.plans.pipelines import outputs
+    from openweave.sources import readers, writers
+
+    rows = [(1, "good price", ["A", "B"], [0.9, 0.4], 2), (2, "bad price", ["A"], [0.8], 1), (3, None, [], [], 0)]
+    coded = spark.createDataFrame(rows, "id long, text string, assigned_codes array<string>, confidence_scores array<double>, num_codes int")
+    book = spark.createDataFrame([("A", "Price"), ("B", "Good"), ("C", "Never")], "code string, label string")
+    tables = outputs(coded, book)
+    assert len(tables) == 12
+    for name, path in writers.export_all(tables, str(tmp_path)).items():
+        assert readers.read_csv(spark, path).count() == tables[name].count(), name
+    import io
+    import zipfile
+
+    assert len(zipfile.ZipFile(io.BytesIO(writers.csv_package(tables))).namelist()) == 12
+    with pytest.raises(ValueError):
+        writers.csv_package({"x": coded}, rows=2)
+    assert '"json' not in writers.download_link(coded, "f", "l", form="json") and "application/json" in writers.download_link(coded, "f", "l", form="json")
+    path = writers.write_text(spark, reports.methods({"k": 3, "seed": 4}, {"rows": 3}, {"silhouette": 0.3}, ["read", "code"]), f"file://{tmp_path}/methods.md")
+    assert "## Reproduction" in open(path.removeprefix("file://")).read()
+    assert reports.parameter_log([("fit", {"k": 3})]) == '{"order": 1, "parameters": {"k": 3}, "step": "fit"}'
+
+
+def test_scores_of_methods_and_traits():
+    assert features.choose_method(80, 15, 0.5) == "tfidf_kmeans" and features.choose_method(80, 15, 0.7) == "nmf" and features.choose_method(2000, 120, 0.7) == "lda"
+    scores, traits = features.method_scores(300, 50, 0.5)
+    assert scores == {"tfidf_kmeans": 75, "lda": 60, "nmf": 67, "bert_kmeans": 40, "lstm_kmeans": 25, "svm": 20} and len(traits) == 2
+
+
+def test_chi_square_of_wide_tables(spark):
+    wide = spark.createDataFrame([(str(i % 3), str(i)) for i in range(3600)], "g string, f string")
+    r = diagnostics.chi_square(wide, "g", "f").first()
+    assert r.dof == 2 * 3599 and abs(r.statistic - 7200) < 1e-6
+
+
 def test_open_coding_end_to_end(spark, topics):
     out = open_coding(topics, "id", "text", method="kmeans", k=3)
     assert out["results"].count() == 60 and out["codebook"].count() == 3 and len(out["summaries"]) == 3
