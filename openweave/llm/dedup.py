@@ -52,36 +52,33 @@ def canonical_text(low: str) -> str:
     return low.encode().translate(None, _BARE).decode() if low.isascii() else low.translate(_FORMATTING)
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str, groups: list[str], min_words: int = 0) -> DataFrame:
+def keyed(df: DataFrame, id_col: str, text_col: str, groups: list[str], min_words: int = 0, keep_text: bool = False) -> DataFrame:
     """(groups, id, h, c): the 128-bit hash of the canonical form and an independent 64-bit check; rows without text are left out."""
     rows = df.filter(F.col(text_col).isNotNull())
     if min_words > 1:
         rows = rows.filter(F.size(F.array_distinct(words(F.col(text_col)))) >= min_words)
-    rows = rows.select(*groups, F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("_k"))
-    return rows.select(*groups, "id", F.unhex(F.md5("_k")).alias("h"), F.xxhash64("_k").alias("c"))
+    rows = rows.select(*groups, F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("_k"), *([F.col(text_col).alias("text")] if keep_text else []))
+    return rows.select(*groups, "id", F.unhex(F.md5("_k")).alias("h"), F.xxhash64("_k").alias("c"), *(["text"] if keep_text else []))
 
 
-def collapse(keys: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per distinct answer: (groups, h, c, first_id, copies, collisions).
+def collapse(keys: DataFrame, groups: list[str], *also) -> DataFrame:
+    """One row per distinct answer: (groups, h, c, first_id, copies) and further aggregates.
 
-    Grouped by hash and check together, so two texts of equal 128-bit hash never merge; ``collisions`` counts the other checks
-    seen under the same hash within the group (0 in practice). Partial aggregation merges copies before they are moved, so a
-    group of copies that holds a third of all rows arrives as one row per task.
+    Grouped by hash and check together, so two texts of equal 128-bit hash never merge unseen. Partial aggregation merges copies
+    before they are moved, so a group of copies that holds a third of all rows arrives as one row per task.
     """
-    return keys.groupBy(*groups, "h", "c").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return keys.groupBy(*groups, "h", "c").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *also)
 
 
 def distinct_records(df: DataFrame, id_col: str, text_col: str, groups: list[str] | None = None, min_words: int = 0) -> DataFrame:
     """One record per distinct answer with its smallest id, its text as stored there and its number of copies.
 
-    NULL texts are no records. Ties cannot occur: ids are unique; if an id repeats, its rows count as copies. An empty table
-    gives an empty result; columns other than those named are ignored, whatever their names.
+    NULL texts are no records. If an id repeats, its rows count as copies and the smallest of its texts is given. An empty table
+    gives an empty result; columns other than those named are ignored, whatever their names. Each distinct text is moved once.
     """
     groups = groups or []
-    keys = materialize(keyed(df, id_col, text_col, groups, min_words), "canon")
-    counts = collapse(keys, groups)
-    firsts = df.filter(F.col(text_col).isNotNull()).select(*groups, F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    return counts.join(firsts.dropDuplicates([*groups, "first_id"]), [*groups, "first_id"]).select(*groups, "first_id", "text", "copies")
+    keys = keyed(df, id_col, text_col, groups, min_words, keep_text=True)
+    return collapse(keys, groups, F.min(F.struct("id", "text")).alias("_first")).select(*groups, "first_id", F.col("_first.text").alias("text"), "copies")
 
 
 def hash_collisions(keys: DataFrame, groups: list[str]) -> DataFrame:

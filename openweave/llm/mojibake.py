@@ -3,6 +3,7 @@ continuation bytes by pattern, reading by reading, for all characters that are n
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -266,6 +267,12 @@ class Repairer:
         return text, sum(used.values()), LOST in text, ",".join(sorted(used))
 
 
+@functools.cache
+def _repairer() -> Repairer:
+    """One automaton a worker process, whatever the number of its tasks."""
+    return Repairer()
+
+
 def restore(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, spans, lost, pairs) of each record that was decoded wrongly, wholly or in places.
 
@@ -274,7 +281,7 @@ def restore(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repair = Repairer()
+        repair = _repairer()
         for b in batches:
             rows = [(i, *repair.fix(t)) for i, t in zip(b["id"], b["text"], strict=True)]
             yield pd.DataFrame([r for r in rows if r[2] or r[3]], columns=["id", "text", "spans", "lost", "pairs"])

@@ -27,6 +27,12 @@ def p1_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.distinct_records(surveys(spark, sf), "id", "response", ["survey"])
 
 
+def p1_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that a 128-bit hash alone would have merged: none, if the hash holds."""
+    found = dedup.hash_collisions(dedup.keyed(surveys(spark, sf), "id", "response", ["survey"]), ["survey"])
+    return found.groupBy("survey").agg(F.count(F.lit(1)).alias("collisions"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return terms.marked_terms(surveys(spark, sf), "response", "survey").filter("mark is not null").select("survey", "term", "mark")
 
@@ -150,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT m.mix_id, m.source, m.weight, m.max_repeats, coalesce(s.tokens, 0)::BIGINT AS tokens FROM mix_targets m LEFT JOIN s ON s.source = m.source),
             w AS (SELECT *, sum(weight) OVER (PARTITION BY mix_id) AS ws, sum(tokens) OVER (PARTITION BY mix_id) AS ts FROM t)"""
     return {
+        "p1_collisions": "SELECT 'x' AS survey, 0::BIGINT AS collisions WHERE false",
         "p2_found": counts + " SELECT survey, term, mark FROM m WHERE mark IS NOT NULL",
         "p2_counts": counts + " SELECT survey, term, occurrences, records, mark FROM m",
         "p7_found": "SELECT bin_id, doc_id FROM documents JOIN bin_sizes ON n_tokens > capacity_tokens",
