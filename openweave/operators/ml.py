@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_words, clean_multilingual
+from .evaluate import combined_score
 from .features import VectorConfig, ngrams
 
 #: Starts of k-means, the best of which is kept.
@@ -188,13 +189,48 @@ def rename(book: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def scores(features: DataFrame, fitted: Fitted) -> dict[str, float]:
-    """Silhouette (squared Euclidean, MLlib's), and the number of clusters used; taken from the strongest topic of each document."""
+    """Silhouette (squared Euclidean, MLlib's), Davies-Bouldin and Calinski-Harabasz index, the clusters used and the combined score.
+
+    A document belongs to its strongest topic. With fewer than two clusters in use: silhouette -1, the others 0.
+    """
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     best = F.array_position(F.col("weights"), F.array_max("weights")).cast("int") - 1
     d = features.join(fitted.doc_topics.select("id", best.alias("prediction")), "id")
     used = d.select("prediction").distinct().count()
-    return {"silhouette": ClusteringEvaluator(featuresCol="features").evaluate(d) if used > 1 else -1.0, "clusters": used}
+    if used < 2:
+        return {"silhouette": -1.0, "davies_bouldin": 0.0, "calinski_harabasz": 0.0, "clusters": used, "combined": 0.0}
+    silhouette = ClusteringEvaluator(featuresCol="features").evaluate(d)
+    db, ch = _dispersion(d)
+    return {"silhouette": silhouette, "davies_bouldin": db, "calinski_harabasz": ch, "clusters": used, "combined": combined_score(silhouette, db, ch)}
+
+
+def _dispersion(d: DataFrame) -> tuple[float, float]:
+    """(Davies-Bouldin, Calinski-Harabasz) of (features, prediction): the centres, k rows, come to the driver; distances are summed where the rows are."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.stat import Summarizer
+
+    means = d.groupBy("prediction").agg(Summarizer.mean(F.col("features")).alias("c"), F.count(F.lit(1)).alias("n")).orderBy("prediction").collect()
+    names = [r["prediction"] for r in means]
+    centre, n = np.array([r["c"].toArray() for r in means]), np.array([r["n"] for r in means], dtype=float)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                at = np.searchsorted(names, b["prediction"].to_numpy())
+                q = ((np.stack(b["x"].to_numpy()) - centre[at]) ** 2).sum(axis=1)
+                yield pd.DataFrame({"at": at, "q": q, "s": np.sqrt(q)}).groupby("at", as_index=False).sum()
+
+    sums = d.select("prediction", vector_to_array("features").alias("x")).mapInPandas(run, "at long, q double, s double").groupBy("at").agg(F.sum("q").alias("q"), F.sum("s").alias("s")).orderBy("at").collect()
+    within, spread = sum(r["q"] for r in sums), np.array([r["s"] for r in sums]) / n
+    apart = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(axis=2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(apart > 0, (spread[:, None] + spread[None]) / apart, 0.0)
+    overall = (centre * n[:, None]).sum(axis=0) / n.sum()
+    between, k = float((n * ((centre - overall) ** 2).sum(axis=1)).sum()), len(n)
+    ch = between * (n.sum() - k) / (within * (k - 1)) if within > 0 else 0.0
+    return float(ratio.max(axis=1).mean()), float(ch)
 
 
 def find_k(features: DataFrame, vocabulary: list[str], low: int = 3, high: int = 15, method: str = "kmeans", seed: int = 42) -> tuple[int, list[tuple[int, float]]]:
@@ -210,7 +246,7 @@ def find_k(features: DataFrame, vocabulary: list[str], low: int = 3, high: int =
 
 
 def tune(df: DataFrame, id_col: str, text_col: str, trials: int = 12, seed: int = 42, methods: tuple[str, ...] = ("kmeans", "nmf", "lda")) -> tuple[dict, list[dict]]:
-    """(best, trials): seeded random search over method, k, n-gram length and document-frequency bounds by the silhouette.
+    """(best, trials): seeded random search over method, k, n-gram length and document-frequency bounds by the combined score.
 
     The best parameters include all that the final fit needs.
     """
@@ -226,7 +262,21 @@ def tune(df: DataFrame, id_col: str, text_col: str, trials: int = 12, seed: int
         features.unpersist()
     if not out:
         raise ValueError("no trial had enough terms")
-    return max(out, key=lambda p: p["silhouette"]), out
+    return max(out, key=lambda p: p["combined"]), out
+
+
+def importance(trials: list[dict], by: str = "combined") -> dict[str, float]:
+    """How much each tuned parameter tells about the score: the share of its variance that lies between the values of the parameter."""
+    names = [k for k in ("method", "k", "max_ngram", "min_df", "max_df") if all(k in t for t in trials)]
+    mean = sum(t[by] for t in trials) / max(len(trials), 1)
+    total = sum((t[by] - mean) ** 2 for t in trials)
+    out = {}
+    for name in names:
+        groups: dict = {}
+        for t in trials:
+            groups.setdefault(t[name], []).append(t[by])
+        out[name] = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values()) / total if total else 0.0
+    return out
 
 
 def pca_scatter(features: DataFrame, k: int = 2) -> DataFrame:

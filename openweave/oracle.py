@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions import wordlists as L
 from .operators.displays import DISPLAYS
 from .operators.features import METHOD_SCORES
+from .operators.interpret import NEGATIVE, POSITIVE
 
 CODED = """k AS (SELECT code_id, unnest(keywords) AS kw FROM code_frame),
     hit AS (SELECT DISTINCT m.id, k.code_id FROM market_research_survey_300 m JOIN k ON contains(lower(m.response), lower(k.kw))),
@@ -147,6 +148,11 @@ def oracle_sql() -> dict[str, str]:
     out["features_label_stopwords"] = rf"SELECT word, count(*) AS documents FROM (SELECT DISTINCT id, unnest(string_split_regex(lower(response), '\s+')) AS word FROM remote_work_experiences_200) WHERE length(word) > 2 AND word NOT IN ({_in(L.STOPWORDS)}) GROUP BY 1 HAVING count(*) >= 0.1 * (SELECT count(*) FROM remote_work_experiences_200) ORDER BY documents DESC, word LIMIT 20"
     out["features_columns"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM market_research_survey_300" for c in ("id", "response", "respondent_id", "submitted_at", "demographic_segment"))
     out["coding_category_level"] = themed + ", u AS (SELECT unnest(categories) AS category_id FROM g) SELECT v.category_id, count(u.category_id) AS count FROM (VALUES ('COSTLY'), ('HUMAN')) AS v(category_id) LEFT JOIN u USING (category_id) GROUP BY 1"
+    turned = lambda words: [f"{n} {w}" for n in ("not", "no", "never") for w in words]
+    out["text_sentiment"] = rf"""WITH t AS (SELECT response, regexp_extract_all(replace(lower(response), 'n''t', ' not'), '((?:(?:not|no|never) )?[a-z]{{2,}})') AS w FROM market_research_survey_300),
+        c AS (SELECT response, len(list_filter(w, lambda x: x IN ({_in([*POSITIVE, *turned(NEGATIVE)])})))::DOUBLE - len(list_filter(w, lambda x: x IN ({_in([*NEGATIVE, *turned(POSITIVE)])})))::DOUBLE AS d FROM t),
+        s AS (SELECT CASE WHEN response IS NULL THEN 0 ELSE d / sqrt(d * d + 15.0::DOUBLE) END AS x, response IS NULL AS none FROM c)
+        SELECT CASE WHEN x >= 0.05 THEN 'positive' WHEN x <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment_label, count(*) AS n, round(avg(CASE WHEN none THEN 1.0 ELSE round(abs(x), 6) END), 6) AS score FROM s GROUP BY 1"""
     out["extension_intersect"] = "SELECT respondent_id FROM market_research_survey_300 INTERSECT SELECT respondent_id FROM remote_work_experiences_200"
     out["extension_except"] = "SELECT respondent_id, count(*) AS n FROM (SELECT respondent_id FROM market_research_survey_300 EXCEPT ALL SELECT respondent_id FROM remote_work_experiences_200) GROUP BY 1"
     of = {k: out[f"diagnostics_{k}"].removeprefix(one).strip() for k in ("stability", "saturation", "utilisation", "confidence", "ambiguity", "imbalance", "chi_square", "position")}

@@ -122,6 +122,18 @@ def test_scores_of_methods_and_traits():
     assert scores == {"tfidf_kmeans": 75, "lda": 60, "nmf": 67, "bert_kmeans": 40, "lstm_kmeans": 25, "svm": 20} and len(traits) == 2
 
 
+def test_scores_of_a_clustering_equal_their_definition(spark):
+    points = {0: [(0.0, 0.0), (0.0, 1.0)], 1: [(4.0, 0.0), (4.0, 1.0), (4.0, 2.0)]}
+    rows = [(i, p, c) for i, (c, p) in enumerate((c, p) for c, ps in points.items() for p in ps)]
+    d = spark.createDataFrame([(i, list(p), [float(c == 0), float(c == 1)]) for i, p, c in rows], "id long, v array<double>, weights array<double>")
+    got = ml.scores(ml.dense(d, "id", "v"), ml.Fitted("kmeans", 2, None, d.select("id", "weights"), []))
+    s0, s1, apart = 0.5, 2 / 3, math.hypot(4, 0.5)
+    within = 0.5 + 2.0
+    between = 2 * (2.4**2 + 0.3**2) + 3 * (1.6**2 + 0.2**2)
+    assert abs(got["davies_bouldin"] - (s0 + s1) / apart) < 1e-9 and abs(got["calinski_harabasz"] - between * 3 / within) < 1e-9 and 0 < got["combined"] <= 1
+    assert ml.importance([{"k": 1, "combined": 0.1}, {"k": 2, "combined": 0.9}]) == {"k": 1.0}
+
+
 def test_chi_square_of_wide_tables(spark):
     wide = spark.createDataFrame([(str(i % 3), str(i)) for i in range(3600)], "g string, f string")
     r = diagnostics.chi_square(wide, "g", "f").first()
