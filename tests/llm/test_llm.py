@@ -372,8 +372,16 @@ def test_a_set_sends_the_same_at_any_number_of_parts():
     assert len(set(sent.values())) == 1 and sent[1] < 2000 * 20 * clusters.ENTRY.itemsize
 
 
-@pytest.mark.parametrize("array, sift", [(24, 1024), (2, 4)])
-def test_signatures_lose_no_link(monkeypatch, array, sift):
+def test_signatures_grow_with_the_length_of_a_set_only():
+    sizes = (100, 1_000, 10_000)
+    sets = pd.DataFrame({"node": range(3), "salt": 1, "codes": ["".join(chr(32 + c) for c in range(n - 1, -1, -1)) for n in sizes], "rare": [b""] * 3})
+    sent = [sum(len(e) for out in clusters._signer(1, 2)([sets.iloc[[i]]]) for e in out["entries"]) // clusters.ENTRY.itemsize for i in range(3)]
+    assert all(n <= 3 * size for n, size in zip(sent, sizes, strict=True))
+
+
+@pytest.mark.parametrize("array, sift, band", [(24, 1024, 128), (2, 4, 128), (24, 1024, 20)])
+def test_signatures_lose_no_link(monkeypatch, array, sift, band):
+    monkeypatch.setattr(clusters, "BAND", band)
     monkeypatch.setattr(clusters, "ARRAY", array)
     monkeypatch.setattr(clusters, "SIFT", sift)
     rng, sets = np.random.default_rng(2), []
