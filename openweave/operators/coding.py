@@ -70,7 +70,7 @@ class CodeFrame:
         return F.when(text.isNull(), F.array().cast(EMPTY)).otherwise(found)
 
 
-def apply_codes(df: DataFrame, frame: CodeFrame, text_col: str, out: str = "codes", case_sensitive: bool = False, id_col: str | None = None) -> DataFrame:
+def apply_codes(df: DataFrame, frame: CodeFrame, text_col: str, out: str = "codes", case_sensitive: bool = False) -> DataFrame:
     """df with the codes of its text, in frame order; a code applies if one of its keywords occurs in the text as a substring.
 
     Row by row, whatever the size of the frame: no id is needed, repeated rows and ids are coded each for itself.
